@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import pack, quality, split, unify
+from foliant.llm import leakage, pack, quality, split, unify
 from foliant.session import table
 
 WINDOW = "train_window"
@@ -61,7 +61,19 @@ def p8_bins(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "documents"), "doc_id", "text", capacity_of(spark, d, WINDOW))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents that hold it, and the most of its words found in one."""
+    found = leakage.leaked(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "eval_items"), "item_id", "text")
+    n = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 3000",
