@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import leakage, pack, quality, split, unify
+from foliant.llm import langid, leakage, pack, quality, split, subjects, unify
 from foliant.session import table
 
 WINDOW = "train_window"
@@ -73,7 +73,42 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items)}
+def languages(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of chunks (type text) and abstracts."""
+    family = F.regexp_extract("source_file", r"^([^_]+)_", 1)
+    chunks = table(spark, d, "chunks").where("chunk_type = 'text'").select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), "text", "lang_label", F.col("document_id").alias("host"), family.alias("family"))
+    papers = table(spark, d, "academic").where("abstract is not null").select(F.lit("academic").alias("rec_kind"), F.col("paper_id").alias("rec_id"), F.col("abstract").alias("text"), "lang_label", F.col("paper_id").alias("host"), family.alias("family"))
+    return langid.identify(chunks.unionByName(papers), ["rec_kind", "rec_id"], "text", "lang_label", "host", "family")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    other = p4_found(spark, d).select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"))
+    return langid.cases(languages(spark, d), ["rec_kind", "rec_id"]).join(other, ["rec_kind", "rec_id"], "left_anti")
+
+
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's languages with sentences and confidence."""
+    return languages(spark, d)
+
+
+def subject_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    areas = [r.subject for r in table(spark, d, "subject_areas").select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
+    models = subjects.train(subjects.labelled_rows(docs, "doc_id", "text", table(spark, d, "subject_labels"), "subject"), areas)
+    return subjects.classify(docs, ["doc_id"], "text", models)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_rows(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and subject."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return subject_rows(spark, d).join(docs, "doc_id").groupBy("source", "subject").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 3000",
