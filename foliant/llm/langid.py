@@ -31,7 +31,7 @@ from foliant.llm.words import NO, Corpus, Memo, flags
 
 LANGS = ("en", "es", "de", "fr", "pt")
 MAX_LABELLED, ROUNDS, MIN_KNOWN, MIN_ROWS, SMOOTH = 4000, 3, 3, 3, 0.2
-P_RIGHT, HOST_WEIGHT, FAMILY_WEIGHT, CAP = 0.85, 4.0, 20.0, 6.0
+P_RIGHT, HOST_WEIGHT, FAMILY_WEIGHT, CAP, SALTS = 0.85, 4.0, 20.0, 6.0, 16
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "cl": "es", "de": "de", "at": "de", "fr": "fr", "pt": "pt", "br": "pt"}
 # How a language is declared, besides its code with a region.
 NAMES = {
@@ -189,7 +189,10 @@ def identify(df: DataFrame, ids: list[str], text: str, label: str, host: str, fa
     model = model or train(df, ids[-1], text, label)
     scores = sentence_scores(base, [*ids, "__label", "__suffix", "__host"], text, model)
     priors = host_priors(base, "__host", "__fam", label)
-    joined = scores.join(priors, scores["__host"] == priors["host"], "left")
+    # one host may hold a third of all rows: its records go over SALTS tasks, its one prior row to each of them
+    salted = scores.withColumn("__salt", F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int"))
+    priors = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(priors, (salted["__host"] == priors["host"]) & (salted["__salt"] == priors["salt"]), "left")
     per = fuse(joined, ids)
     return per.groupBy(*ids, "label", "lang").agg(
         F.sum("sentences").cast("int").alias("sentences"), F.sum("whole").cast("int").alias("whole"), F.round(F.sum("p") / F.sum("sentences"), 4).alias("confidence")

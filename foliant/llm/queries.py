@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, leakage, pack, quality, split, subjects, unify
+from foliant.llm import langid, leakage, names, pack, quality, split, subjects, unify
 from foliant.session import table
 
 WINDOW = "train_window"
@@ -108,7 +108,21 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subject_rows(spark, d).join(docs, "doc_id").groupBy("source", "subject").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition)}
+def name_links(spark: SparkSession, d: str) -> DataFrame:
+    registry = names.registry_of(table(spark, d, "author_registry"), "author_id", "kind", "full_name", "family_name")
+    return names.link_papers(table(spark, d, "academic"), "paper_id", "authors", "year", "citation_key", registry)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_links(spark, d).where("not exact").select("paper_id", "author_pos", "author_id").distinct()
+
+
+def p7_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of each registry entry, exact and otherwise."""
+    return name_links(spark, d).where("author_pos > 0").distinct().groupBy("author_id").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_variant"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition, p7_found, p7_entries)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 3000",
