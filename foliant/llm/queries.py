@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, leakage, names, pack, quality, split, subjects, unify
+from foliant.llm import langid, leakage, names, neardup, pack, quality, split, subjects, unify
 from foliant.session import table
 
 WINDOW = "train_window"
@@ -122,7 +122,33 @@ def p7_entries(spark: SparkSession, d: str) -> DataFrame:
     return name_links(spark, d).where("author_pos > 0").distinct().groupBy("author_id").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_variant"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition, p7_found, p7_entries)}
+CHUNK_THRESHOLD, CHUNK_WIDTH = 0.5, 3  # as problem 3 is stated for this project
+
+
+def near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, d, "chunks").where("chunk_type = 'text'"), "chunk_id", "text", CHUNK_THRESHOLD, CHUNK_WIDTH)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.near_pairs(*near_chunks(spark, d), "chunk_id").select("id_a", "id_b")
+    other = p4_found(spark, d).select("chunk_id")
+    for side in ("id_a", "id_b"):
+        pairs = pairs.join(other.withColumnRenamed("chunk_id", side), side, "left_anti")
+    works = neardup.same_works(table(spark, d, "academic"), "paper_id", "doi", "title")
+    return pairs.select(F.lit("chunk").alias("rec_kind"), "id_a", "id_b").unionByName(works.select(F.lit("academic").alias("rec_kind"), "id_a", "id_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every text chunk's group and number of links to other texts."""
+    return neardup.groups(*near_chunks(spark, d), "chunk_id")
+
+
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate documents: five words, similarity 0.8."""
+    return neardup.groups(*neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", 0.8, 5), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition, p7_found, p7_entries, p3_found, p3_groups, p3_documents)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 3000",
