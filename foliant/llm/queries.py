@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, leakage, names, neardup, pack, quality, split, subjects, unify
+from foliant.llm import langid, leakage, names, neardup, pack, quality, scans, split, subjects, unify
 from foliant.session import table
 
 WINDOW = "train_window"
@@ -148,7 +148,28 @@ def p3_documents(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", 0.8, 5), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition, p7_found, p7_entries, p3_found, p3_groups, p3_documents)}
+def scan_noise(spark: SparkSession, d: str, want_text: bool = False) -> DataFrame:
+    """Findings over all pages and all chunks."""
+    docs, chunks = table(spark, d, "extractions"), table(spark, d, "chunks")
+    texts = docs.select(F.explode("raw_text_by_page").alias("t")).unionByName(chunks.select(F.col("text").alias("t")))
+    reader = scans.reader_of(texts, "t")
+    pages = scans.find_pages(docs.select(F.lit("extraction").alias("rec_kind"), F.col("document_id").alias("rec_id"), "raw_text_by_page"), ["rec_kind", "rec_id"], "raw_text_by_page", reader, want_text)
+    marks = scans.page_furniture(docs, "document_id", "raw_text_by_page")
+    rows = chunks.where("chunk_type = 'text'").withColumns({"rec_kind": F.lit("chunk"), "rec_id": F.col("chunk_id")})
+    parts = scans.find_chunks(rows, ["rec_kind", "rec_id"], "document_id", "text", "page_start", "page_end", marks, reader, want_text)
+    return pages.unionByName(parts)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise(spark, d).select("rec_kind", "rec_id", "page_num", "noise", "token").distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every extraction and chunk."""
+    return scan_noise(spark, d, True).where("noise = 'text'").select("rec_kind", "rec_id", F.col("token").alias("text")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition, p7_found, p7_entries, p3_found, p3_groups, p3_documents, p1_found, p1_repaired)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 3000",
