@@ -6,9 +6,9 @@ characters unified as in problem 5.
 
 Steps
 
-1. One scan turns each text into a text key (equal words, equal key), its shingle hashes, ``ROWS * BANDS`` minimum
-   hashes as band keys, and a signature of ``BITS`` bits of each minimum. These few bytes are checkpointed; texts are
-   never shuffled. Copies collapse to one representative per text key.
+1. One scan turns each text into a text key (equal words, equal key) and its shingle hashes. These few bytes are
+   checkpointed; texts are never shuffled. Copies collapse to one representative per text key. ``ROWS * BANDS`` minimum
+   hashes give band keys, and ``BITS`` bits of each minimum a signature.
 2. Equal band keys make blocks. Blocks of over ``BLOCK`` members are cut into groups and compared group by group, so no
    task holds an unbounded block and no pair is lost.
 3. Bit-sliced comparison: within a block the signatures are stored as vertical bit planes, 64 members to a word; each
@@ -117,7 +117,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text: str, width: int, unit: str = "word") -> DataFrame:
-    """(id, tkey, bands array<bigint>, sig binary, sh array<int>) of every text with a word."""
+    """(id, tkey, sh array<int>) of every text with a word."""
 
     def make():
         memo = Memo(parts)
@@ -147,28 +147,42 @@ def sketches(df: DataFrame, id_col: str, text: str, width: int, unit: str = "wor
                 if not len(words):
                     continue
                 text_no, sh = shingles(words, e, width)
-                has, low = minima(text_no, sh, len(e) - 1)
+                has = np.unique(text_no)
                 raw = words.tobytes()
                 tkey = np.array([xxhash.xxh3_64_intdigest(raw[8 * e[i] : 8 * e[i + 1]]) for i in has], dtype=np.uint64).view(np.int64)
                 cuts = np.append(np.searchsorted(text_no, has), len(text_no)).astype(np.int32)
-                out.append((has + a, tkey, band_keys(low), signatures(low), cuts, sh.astype(np.uint32).view(np.int32)))
+                out.append((has + a, tkey, cuts, sh.astype(np.uint32).view(np.int32)))
             if not out:
                 return None
-            keys = np.concatenate([x[2] for x in out])
-            sig = np.concatenate([x[3] for x in out])
-            shs = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(x[4], pa.int32()), pa.array(x[5], pa.int32())) for x in out])
-            n = len(keys)
             return {
                 id_col: b.column(0).take(pa.array(np.concatenate([x[0] for x in out]), pa.int64())),
                 "tkey": pa.array(np.concatenate([x[1] for x in out]), pa.int64()),
-                "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel(), pa.int64())),
-                "sig": pa.array([s.tobytes() for s in sig], pa.binary()),
-                "sh": shs,
+                "sh": pa.concat_arrays([pa.ListArray.from_arrays(pa.array(x[2], pa.int32()), pa.array(x[3], pa.int32())) for x in out]),
             }
 
         return work
 
-    return map_batches(df.select(id_col, F.col(text).alias("__t")), make, f"{id_schema(df, [id_col])}, tkey bigint, bands array<bigint>, sig binary, sh array<int>")
+    return map_batches(df.select(id_col, F.col(text).alias("__t")), make, f"{id_schema(df, [id_col])}, tkey bigint, sh array<int>")
+
+
+def list_minima(lists: pa.ListArray) -> np.ndarray:
+    """Minimum hashes of each list of shingles; lists are not empty."""
+    sh = np.asarray(lists.flatten()).view(np.uint32).astype(np.uint64)
+    return minima(np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), sh, len(lists))[1]
+
+
+def band_rows(sk: DataFrame) -> DataFrame:
+    """(tkey, band) of every text; copies within a batch count once, before anything is shuffled."""
+
+    def make():
+        def work(b: pa.RecordBatch) -> dict:
+            tkey, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            keys = band_keys(list_minima(b.column(1).take(pa.array(first, pa.int64()))))
+            return {"tkey": pa.array(np.repeat(tkey, BANDS), pa.int64()), "band": pa.array(keys.ravel(), pa.int64())}
+
+        return work
+
+    return map_batches(sk.select("tkey", "sh"), make, "tkey bigint, band bigint")
 
 
 def close_pairs(block: np.ndarray, side: np.ndarray, sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -242,10 +256,10 @@ def beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def links(sk: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of text keys ``a < b`` with their ``similarity``, at least the threshold. ``sk``: sketches, one row per text key."""
+    """Pairs of text keys ``a < b`` with their ``similarity``, at least the threshold. ``sk``: sketches."""
     radius = radius_of(threshold)
     w = Window.partitionBy("band")
-    members = sk.select("tkey", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(w)).where("n > 1")
+    members = band_rows(sk).repartition("band").dropDuplicates(["band", "tkey"]).withColumn("n", F.count("*").over(w)).where("n > 1")
     # large blocks: groups of members, and a block for each pair of groups
     parts_n = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     grouped = members.withColumn("p", parts_n).withColumn("g", F.when(F.col("p") > 1, F.pmod(F.xxhash64("tkey", "band"), F.col("p"))).otherwise(F.lit(0)).cast("int"))
@@ -256,9 +270,9 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
         F.xxhash64("band", F.least("g", "h"), F.greatest("g", "h"), F.lit(1)).alias("block"),
         F.when(F.col("g") == F.col("h"), 0).when(F.col("g") < F.col("h"), 1).otherwise(2).alias("side"),
     )
-    blocks = small.unionByName(wide).join(sk.select("tkey", "sig", "sh"), "tkey")
+    blocks = small.unionByName(wide).join(sk.groupBy("tkey").agg(F.first("sh").alias("sh")), "tkey")
     # sorted blocks go over from one Arrow batch to the next
-    ordered = blocks.repartition("block").sortWithinPartitions("block").select("block", "side", "tkey", "sig", "sh")
+    ordered = blocks.repartition("block").sortWithinPartitions("block").select("block", "side", "tkey", "sh")
     names = ["a", "b", "similarity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +284,8 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
             t = t.combine_chunks()
             block = t.column("block").to_numpy()
             key = t.column("tkey").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-            lists = t.column("sh").chunk(0) if t.column("sh").num_chunks else t.column("sh")
+            lists = t.column("sh").chunk(0)
+            sig = signatures(list_minima(lists))
             offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
             found: dict[tuple[int, int], float] = {}
             for i, j in close_pairs(block, t.column("side").to_numpy(), sig, radius):
@@ -304,9 +318,7 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, width: int, unit: str = "word") -> tuple[DataFrame, DataFrame]:
     """Membership ``(id, tkey)`` and links ``(a, b, similarity)`` between text keys."""
     sk = cut(sketches(df, id_col, text, width, unit))
-    members = sk.select(id_col, "tkey").distinct()
-    one = sk.groupBy("tkey").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("sh").alias("sh"))
-    return members, links(one, threshold)
+    return sk.select(id_col, "tkey"), links(sk, threshold)
 
 
 def near_pairs(members: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
@@ -340,6 +352,7 @@ def groups(members: DataFrame, linked: DataFrame, id_col: str, rounds: int = 20)
         if not changed:
             break
     degree = edges.groupBy("a").agg(F.count("*").alias("d"))
+    members = members.groupBy(id_col, "tkey").count()
     named = members.join(label, members["tkey"] == label["k"], "left").join(degree, members["tkey"] == degree["a"], "left")
     return named.select(id_col, F.coalesce("g", "tkey").alias("group"), F.coalesce("d", F.lit(0)).alias("n_links"))
 
