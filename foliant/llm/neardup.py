@@ -270,10 +270,10 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
         F.xxhash64("band", F.least("g", "h"), F.greatest("g", "h"), F.lit(1)).alias("block"),
         F.when(F.col("g") == F.col("h"), 0).when(F.col("g") < F.col("h"), 1).otherwise(2).alias("side"),
     )
-    blocks = small.unionByName(wide).join(sk.groupBy("tkey").agg(F.first("sh").alias("sh")), "tkey")
+    one = sk.groupBy("tkey").agg(F.first("sh").alias("sh"))
+    signed = map_batches(small.unionByName(wide).join(one, "tkey").select("block", "side", "tkey", "sh"), sign_rows, "block bigint, side int, tkey bigint, sig binary")
     # sorted blocks go over from one Arrow batch to the next
-    ordered = blocks.repartition("block").sortWithinPartitions("block").select("block", "side", "tkey", "sh")
-    names = ["a", "b", "similarity"]
+    ordered = signed.repartition("block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -281,22 +281,10 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
         def compare(t: pa.Table) -> pa.RecordBatch | None:
             if t.num_rows < 2:
                 return None
-            t = t.combine_chunks()
-            block = t.column("block").to_numpy()
             key = t.column("tkey").to_numpy()
-            lists = t.column("sh").chunk(0)
-            sig = signatures(list_minima(lists))
-            offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-            found: dict[tuple[int, int], float] = {}
-            for i, j in close_pairs(block, t.column("side").to_numpy(), sig, radius):
-                ij = (int(key[i]), int(key[j])) if key[i] < key[j] else (int(key[j]), int(key[i]))
-                if ij in found or key[i] == key[j]:
-                    continue
-                x, y = flat[offs[i] : offs[i + 1]], flat[offs[j] : offs[j + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found[ij] = both / (len(x) + len(y) - both)
-            good = [(a, b, s) for (a, b), s in found.items() if s >= threshold]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in good], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=names) if good else None
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+            found = {(int(min(key[i], key[j])), int(max(key[i], key[j]))) for i, j in close_pairs(t.column("block").to_numpy(), t.column("side").to_numpy(), sig, radius) if key[i] != key[j]}
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]) if found else None
 
         for b in batches:
             if not b.num_rows:
@@ -311,8 +299,35 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
         if held is not None and (out := compare(held)) is not None:
             yield out
 
-    pairs = ordered.mapInArrow(run, "a bigint, b bigint, similarity double")
-    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    pairs = ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    both = pairs.join(one.select(F.col("tkey").alias("a"), F.col("sh").alias("x")), "a").join(one.select(F.col("tkey").alias("b"), F.col("sh").alias("y")), "b").select("a", "b", "x", "y")
+    return map_batches(both, similarities, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
+
+
+def sign_rows():
+    def work(b: pa.RecordBatch) -> dict:
+        key = b.column(2).to_numpy(zero_copy_only=False)
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        sig = pa.array([s.tobytes() for s in signatures(list_minima(b.column(3).take(pa.array(first, pa.int64()))))], pa.binary())
+        return {"block": b.column(0), "side": b.column(1), "tkey": b.column(2), "sig": sig.take(pa.array(at, pa.int64()))}
+
+    return work
+
+
+def similarities():
+    """The exact check on the shingles of both texts."""
+
+    def work(b: pa.RecordBatch) -> dict:
+        x, y = b.column(2), b.column(3)
+        xo, xs, yo, ys = np.asarray(x.offsets), np.asarray(x.values), np.asarray(y.offsets), np.asarray(y.values)
+        out = []
+        for i in range(b.num_rows):
+            p, q = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both / (len(p) + len(q) - both))
+        return {"a": b.column(0), "b": b.column(1), "similarity": pa.array(out, pa.float64())}
+
+    return work
 
 
 def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, width: int, unit: str = "word") -> tuple[DataFrame, DataFrame]:
