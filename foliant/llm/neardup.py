@@ -338,7 +338,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, wid
 
 def near_pairs(members: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
     """All pairs of ids ``id_a < id_b``: of linked texts, and of one text's copies."""
-    m = members.select(F.col(id_col).alias("i"), "tkey")
+    m = members.select(F.col(id_col).alias("i"), "tkey").repartition("tkey")  # one exchange serves all joins below
     many = m.groupBy("tkey").agg(F.count("*").alias("n")).where("n > 1").select("tkey")
     copies = m.join(many, "tkey")
     same = copies.join(copies.withColumnRenamed("i", "j"), "tkey").where("i < j").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"), F.lit(1.0).alias("similarity"))
