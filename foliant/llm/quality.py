@@ -118,7 +118,7 @@ def judge(words: list[str], mean: float, symbols: float, digits: float, alpha: f
         ("punctuated_lines", punct < MIN_PUNCT),
     )
     failed = [name for name, bad in rules if bad]
-    if "byte_dump" in failed or "long_words" in failed or "single_letters" in failed:
+    if "byte_dump" in failed or "long_words" in failed:
         return failed, "junk"
     if table >= MIN_TABLE and table >= bullets:
         return failed, "table"
@@ -126,7 +126,7 @@ def judge(words: list[str], mean: float, symbols: float, digits: float, alpha: f
         return failed, "list"
     if table + bullets >= MAX_BULLETS:
         return failed, "table"
-    if "common_words" in failed or "repeated_words" in failed:
+    if "common_words" in failed or "repeated_words" in failed or "single_letters" in failed:
         return failed, "junk"
     return failed, "prose"
 

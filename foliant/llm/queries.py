@@ -93,8 +93,9 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def subject_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    areas = [r.subject for r in table(spark, d, "subject_areas").select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
-    models = subjects.train(subjects.labelled_rows(docs, "doc_id", "text", table(spark, d, "subject_labels"), "subject"), areas)
+    areas = table(spark, d, "subject_areas").where("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).orderBy("subject").collect()
+    described = [(r.description, [r.subject]) for r in areas if r.description] * subjects.DESCRIPTION
+    models = subjects.train(subjects.labelled_rows(docs, "doc_id", "text", table(spark, d, "subject_labels"), "subject") + described, [r.subject for r in areas])
     return subjects.classify(docs, ["doc_id"], "text", models)
 
 

@@ -11,6 +11,8 @@ Training reads at most ``MAX_LABELLED`` labelled rows (a bounded sample by a has
 are of documents, so the models are refined ``ROUNDS`` times by leaving out those sentences of a labelled document that
 the label's model doesn't favour. A wrong label loses its sentences that way. Everything else covers all documents and whole texts.
 
+A subject's description, where there is one, counts as ``DESCRIPTION`` labelled texts.
+
 Null and empty texts have no sentences and no rows. A text whose sentences show no subject gets the subject of its
 overall best score if that is positive. Repeated rows are each classified alike. No labels: no rows. Output: the id
 columns, ``subject string, sentences int, share double``.
@@ -27,7 +29,7 @@ from foliant.llm._arrow import id_schema, map_batches
 from foliant.llm.langid import seed_words
 from foliant.llm.words import NO, Corpus, Memo, flags, whole
 
-MAX_LABELLED, ROUNDS, SHARE, MIN_DOCS, MIN_TOKENS = 6000, 4, 1 / 6, 3, 4
+MAX_LABELLED, ROUNDS, SHARE, MIN_DOCS, MIN_TOKENS, DESCRIPTION = 6000, 4, 1 / 6, 3, 4, 3
 WEIGHT, PAIR_WEIGHT, SURE = 2.0, 6.0, 2.5
 PRIOR, SMOOTH = 2.0, 0.5
 
