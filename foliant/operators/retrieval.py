@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from foliant.functions import text as T
@@ -53,7 +53,7 @@ def embed(df: DataFrame, text: str = "text", embedder: Callable[[Sequence[str]],
 def cosine_distance(a, b):
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.lit(1.0) - dot / (size(a) * size(b))
+    return F.lit(1.0) - F.try_divide(dot, size(a) * size(b))
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "embedding") -> DataFrame:
@@ -63,28 +63,59 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str, ve
     return vectors.withColumn("distance", d).where("distance is not null").orderBy("distance", key).limit(max(1, k))
 
 
-def vector_index(vectors: DataFrame, vector: str = "embedding", bits: int = 6, tables: int = 12, seed: int = 3) -> DataFrame:
-    """Random hyperplane signs of every row: ``lsh array<int>``, one bucket a table. All rows are indexed."""
-    first = vectors.select(F.size(vector).alias("n")).where("n > 0").first()
-    dim = first["n"] if first else 1
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def run(s: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v if v is not None and len(v) == dim else np.zeros(dim)) for v in s]) if len(s) else np.zeros((0, dim))
-        sign = (x @ planes.T > 0).reshape(len(x), tables, bits)
-        return pd.Series(list((sign * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
-
-    return vectors.withColumn("lsh", run(F.col(vector)))
-
-
-def vector_neighbours(indexed: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
-    """For each query row its k nearest of all rows that share a bucket: ``query, key, distance, rank``. Both sides come from ``vector_index``."""
-    b = lambda df, n: df.select(F.col(key).alias(n), F.col(vector).alias(f"v_{n}"), F.posexplode("lsh").alias("t", "h"))
-    pairs = b(queries, "q").join(b(indexed, "c"), ["t", "h"]).dropDuplicates(["q", "c"])
-    w = Window.partitionBy("q").orderBy("distance", "c")
-    ranked = pairs.withColumn("distance", F.round(cosine_distance(F.col("v_q"), F.col("v_c")), 4)).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select(F.col("q").alias("query"), F.col("c").alias("neighbour"), "distance", "rank")
+QUERY_BLOCK = 4096
+
+
+def vector_neighbours(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
+    """For each query row its k nearest of all rows, exact: ``query, neighbour, distance, rank``; ties by id.
+
+    The queries are a stated set; they go out in blocks of ``QUERY_BLOCK``, and each block is one scan. A task multiplies
+    its batches with the block and keeps k rows a query, so what is merged is k rows a query and task. Rows without a
+    vector, or of length 0, are nobody's neighbours.
+    """
+    kind = dict(vectors.dtypes)[key]
+    qs = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"))
+    out = None
+    block: list = []
+    parts: list[DataFrame] = []
+
+    def search(rows: list) -> DataFrame:
+        ids = [r.q for r in rows]
+        m = np.array([r.v for r in rows], dtype=np.float64)
+        norm = np.linalg.norm(m, axis=1)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best_d = np.full((len(ids), 0), 0.0)
+            best_i = np.full((len(ids), 0), None, dtype=object)
+            for b in batches:
+                b = b[b["v"].map(lambda v: v is not None and len(v) == m.shape[1])]
+                if not len(b):
+                    continue
+                x = np.stack(b["v"].to_numpy()).astype(np.float64)
+                size = np.linalg.norm(x, axis=1)
+                x, names = x[size > 0] / size[size > 0][:, None], b["i"].to_numpy()[size > 0]
+                d = np.round(1 - (m @ x.T) / np.where(norm == 0, np.nan, norm)[:, None], 4)
+                best_d = np.concatenate([best_d, d], axis=1)
+                best_i = np.concatenate([best_i, np.broadcast_to(names.astype(object), d.shape)], axis=1)
+                if best_d.shape[1] > k:
+                    order = np.array([sorted(range(best_d.shape[1]), key=lambda j: (best_d[r, j], best_i[r, j]))[:k] for r in range(len(ids))])
+                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+            rows_out = [(ids[r], best_i[r, j], float(best_d[r, j])) for r in range(len(ids)) for j in range(best_d.shape[1]) if not np.isnan(best_d[r, j])]
+            yield pd.DataFrame(rows_out, columns=["query", "neighbour", "distance"])
+
+        return vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("i"), F.col(vector).alias("v")).mapInPandas(run, f"query {kind}, neighbour {kind}, distance double")
+
+    for row in qs.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            parts.append(search(block))
+            block = []
+    if block or not parts:
+        parts.append(search(block) if block else vectors.where("false").select(F.col(key).alias("query"), F.col(key).alias("neighbour"), F.lit(0.0).alias("distance")))
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    w = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hits_to_sources(hits: DataFrame) -> DataFrame:

@@ -469,11 +469,11 @@ def vector_topk(spark, d):
     return hits.select("vec_id", (F.col("distance") + 0.0).alias("distance"))
 
 
-@query()
+@query("""SELECT q.vec_id AS query, x.vec_id AS neighbour, x.distance, x.rank FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) q, LATERAL (SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q.v), 4) + 0.0 AS distance FROM embeddings)) x WHERE x.rank <= 10""")
 def vector_neighbours(spark, d):
     """Queries: every row whose id is divisible by 20, against all rows."""
-    ix = retrieval.vector_index(table(spark, d, "embeddings"))
-    return retrieval.vector_neighbours(ix, ix.where("vec_id % 20 = 0"), 10, "vec_id")
+    v = table(spark, d, "embeddings")
+    return retrieval.vector_neighbours(v, v.where("vec_id % 20 = 0"), 10, "vec_id").withColumn("distance", F.col("distance") + 0.0)
 
 
 HITS = f"""{LATEST}, {PAPER}, e AS (SELECT vec_id, {VECTOR} AS distance FROM embeddings), n AS (SELECT *, row_number() OVER (ORDER BY chunk_id) - 1 AS vec_id FROM latest),
@@ -568,3 +568,103 @@ def extraction_choice(spark, d):
     a = table(spark, d, "extractions").where("size(pages) > 0").groupBy("document_id").agg(F.max("method").alias("method"), F.round(F.avg(share), 4).alias("score"))
     b = a.select("document_id", F.lit(0.65).alias("score"), F.lit("second").alias("method"))
     return pages.choose_extraction(a, b)
+
+
+# ---- layout, on fixtures: no table has words, blocks or spans
+
+
+def values(spark: SparkSession, name: str) -> DataFrame:
+    rows, schema = FIXTURES[name]
+    return spark.createDataFrame(rows, schema)
+
+
+FIXTURES: dict[str, tuple[list[tuple], str]] = {
+    "blocks": (
+        [("a", p, 600.0, x, t) for p in (1, 2, 3) for x, t in ((50.0, "left one"), (60.0, "left two"), (340.0, "right one"), (345.0, "right two"))]
+        + [("b", p, 600.0, x, t) for p in (1, 2) for x, t in ((50.0, "wide"), (55.0, "wide too"), (400.0, " "))],
+        "document_id string, page_num int, page_width double, x0 double, text string",
+    ),
+    "words": (
+        [("a", 1, 100.0, 20.0, "of"), ("a", 1, 99.0, 5.0, "Table"), ("a", 1, 102.5, 12.0, "1."), ("a", 1, 102.1, 30.0, "costs"), ("a", 1, 130.0, 5.0, "Body"), ("a", 1, 131.0, 15.0, "text that stands near the grid"), ("a", 1, 300.0, 5.0, "Tabla"), ("a", 1, 300.0, 15.0, "2: otros"), ("b", 1, 50.0, 5.0, "Table"), ("b", 1, 50.0, 9.0, "9")],
+        "document_id string, page_num int, top double, x0 double, text string",
+    ),
+    "grids": ([("a", 1, 1, 110.0, 125.0), ("a", 1, 2, 310.0, 350.0), ("b", 1, 1, 400.0, 500.0)], "document_id string, page_num int, table_no int, top double, bottom double"),
+    "spans": ([("a", 1, 100.0, 20.0, "A long title"), ("a", 2, 122.0, 19.0, "that goes on"), ("a", 3, 300.0, 20.0, "and ends far below"), ("a", 4, 150.0, 10.0, "Some Author"), ("b", 1, 80.0, 12.0, "12345")], "document_id string, span_no int, y double, size double, text string"),
+    "images": (
+        [("a", 1, 1, 500, 500, 20000, 50.0, 100.0, 300.0, 250.0, "Fig. 1", "png"), ("a", 1, 2, 399, 900, 20000, 50.0, 400.0, 300.0, 500.0, "Fig. 2", "png"), ("a", 2, 1, 450, 450, 20000, 50.0, 100.0, 300.0, 250.0, None, "png"), ("a", 2, 2, 400, 400, 20000, 0.0, 0.0, 9.0, 9.0, None, "png"), ("a", 2, 3, 800, 600, 9999, 0.0, 0.0, 9.0, 9.0, None, "png")],
+        "document_id string, page_num int, image_no int, width int, height int, bytes int, x0 double, y0 double, x1 double, y1 double, label string, ext string",
+    ),
+    "figure_blocks": (
+        [("a", 1, 1, 40.0, 60.0, 300.0, 90.0, "Figure 7 stands above"), ("a", 1, 2, 40.0, 260.0, 300.0, 280.0, "Fig. 1.2  shows the course"), ("a", 1, 3, 40.0, 300.0, 300.0, 330.0, "Text around the figure that is long enough"), ("a", 2, 1, 40.0, 60.0, 300.0, 90.0, "Figura 3 arriba")],
+        "document_id string, page_num int, block_no int, bx0 double, by0 double, bx1 double, by1 double, text string",
+    ),
+}
+
+
+def values_sql(name: str) -> str:
+    rows, schema = FIXTURES[name]
+    one = lambda v: "NULL" if v is None else lit(v) if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return f"{name}({', '.join(c.split()[0] for c in schema.split(', '))}) AS (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)})"
+
+
+@query(f"""WITH {values_sql('blocks')}, p AS (SELECT document_id, page_num, count(*) FILTER (trim(text) <> '' AND x0 < 0.45 * page_width) AS l, count(*) FILTER (trim(text) <> '' AND x0 > 0.55 * page_width) AS r FROM blocks WHERE page_num <= 5 GROUP BY 1, 2)
+SELECT document_id, count(*) FILTER (l >= 2 AND r >= 2) AS votes, CASE WHEN count(*) FILTER (l >= 2 AND r >= 2) >= greatest(1, count(*) // 2) THEN 'two_column' ELSE 'single_column' END AS layout_hint FROM p GROUP BY 1""")
+def layout_vote(spark, d):
+    return pages.layout_votes(values(spark, "blocks"))
+
+
+LAYOUT_LINES = """v AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_num ORDER BY top, x0, text) AS k FROM words),
+w AS (SELECT document_id, page_num, k, 0 AS line_no, top AS y, text AS word FROM v WHERE k = 1 UNION ALL
+  SELECT v.document_id, v.page_num, v.k, CASE WHEN abs(v.top - w.y) > 3 THEN w.line_no + 1 ELSE w.line_no END, CASE WHEN abs(v.top - w.y) > 3 THEN v.top ELSE w.y END, v.text FROM w JOIN v ON v.document_id = w.document_id AND v.page_num = w.page_num AND v.k = w.k + 1),
+lines AS (SELECT document_id, page_num, line_no, min(y) AS y, string_agg(word, ' ' ORDER BY k) AS text FROM w GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {values_sql('words')}, {LAYOUT_LINES} SELECT * FROM lines")
+def layout_lines(spark, d):
+    return structure.words_to_lines(values(spark, "words"))
+
+
+CAPTIONS = f"""c AS (SELECT *, nullif({collapse(f"regexp_extract(text, {lit(D.TABLE_CAPTION)}, 1)")}, '') AS caption FROM lines),
+j AS (SELECT g.*, c.y, c.line_no, c.caption, c.y BETWEEN top - 60 AND top + 5 OR c.y BETWEEN bottom - 5 AND bottom + 60 AS near FROM grids g LEFT JOIN c ON g.document_id = c.document_id AND g.page_num = c.page_num AND c.caption IS NOT NULL),
+cap AS (SELECT document_id, page_num, table_no, coalesce(first(caption ORDER BY y, line_no) FILTER (near), first(caption ORDER BY y, line_no) FILTER (caption IS NOT NULL)) AS caption FROM j GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {values_sql('words')}, {values_sql('grids')}, {LAYOUT_LINES}, {CAPTIONS} SELECT *, nullif(trim(regexp_extract(caption, {lit(D.TABLE_LABEL)}, 1)), '') AS label FROM cap")
+def caption_lookup(spark, d):
+    return structure.table_captions(values(spark, "grids"), structure.words_to_lines(values(spark, "words")))
+
+
+@query(f"""WITH RECURSIVE {values_sql('words')}, {values_sql('grids')}, {LAYOUT_LINES}, {CAPTIONS}, n AS (SELECT g.*, l.y, l.line_no, l.text FROM grids g JOIN cap USING (document_id, page_num, table_no) JOIN lines l ON g.document_id = l.document_id AND g.page_num = l.page_num
+  WHERE (l.y BETWEEN top - 80 AND top OR l.y BETWEEN bottom AND bottom + 80) AND length(l.text) >= 15 AND NOT coalesce(starts_with(l.text, substr(cap.caption, 1, 30)), false))
+SELECT g.document_id, g.page_num, g.table_no, coalesce(substr(string_agg(n.text, ' … ' ORDER BY n.y, n.line_no), 1, 400), '') AS surrounding_text FROM grids g LEFT JOIN n USING (document_id, page_num, table_no) GROUP BY 1, 2, 3""")
+def table_context(spark, d):
+    lines = structure.words_to_lines(values(spark, "words"))
+    grids = values(spark, "grids")
+    captions = structure.table_captions(grids, lines).drop("label")
+    return structure.table_context(grids.join(captions, ["document_id", "page_num", "table_no"]), lines)
+
+
+@query(f"""WITH {values_sql('spans')}, m AS (SELECT *, max(size) OVER (PARTITION BY document_id) AS most FROM spans WHERE length(trim(text)) > 3 AND size > 0), b AS (SELECT *, y - lag(y) OVER (PARTITION BY document_id ORDER BY y, span_no) AS gap FROM m WHERE size >= 0.85 * most),
+o AS (SELECT *, max((coalesce(gap, 0) > 2.5 * most)::INT) OVER (PARTITION BY document_id ORDER BY y, span_no) AS off FROM b), t AS (SELECT document_id, string_agg(text, ' ' ORDER BY y, span_no) AS t FROM o WHERE off = 0 GROUP BY 1)
+SELECT document_id, CASE WHEN length(t) >= 5 AND NOT regexp_matches(t, '^\\d+$') THEN substr(t, 1, 400) END AS title FROM t""")
+def titles(spark, d):
+    return structure.titles(values(spark, "spans"))
+
+
+@query(f"""WITH {values_sql('images')}, k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_num, image_no) AS image_index, row_number() OVER (PARTITION BY document_id, page_num ORDER BY image_no) AS page_image FROM images WHERE width >= 400 AND height >= 400 AND width * height >= 200000 AND bytes >= 10000)
+SELECT document_id, page_num, image_no, image_index, page_image, printf('p%02d_img%02d', page_num, page_image) || CASE WHEN coalesce(label, '') = '' THEN '' ELSE '_' || regexp_replace(label, '[^A-Za-z0-9]', '', 'g') END || '.' || ext AS filename FROM k""")
+def numbered_images(spark, d):
+    return structure.number_images(values(spark, "images")).select("document_id", "page_num", "image_no", "image_index", "page_image", "filename")
+
+
+@query(f"""WITH {values_sql('images')}, {values_sql('figure_blocks')}, j AS (SELECT i.document_id, i.page_num, i.image_no, block_no, text, CASE WHEN bx1 >= x0 - 20 AND bx0 <= x1 + 20 AND by1 >= y1 AND by0 <= y1 + 80 THEN 0 WHEN bx1 >= x0 - 20 AND bx0 <= x1 + 20 AND by1 >= y0 - 80 AND by0 <= y0 THEN 1 END AS z FROM images i LEFT JOIN figure_blocks b ON i.document_id = b.document_id AND i.page_num = b.page_num),
+f AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_num, image_no ORDER BY z, block_no) AS rn FROM j WHERE z IS NOT NULL AND regexp_matches(text, {lit(D.FIG_LABEL)}))
+SELECT i.document_id, i.page_num, i.image_no, {collapse('f.text')} AS caption, trim(regexp_extract(f.text, {lit(D.FIG_LABEL)}, 1)) AS label FROM images i LEFT JOIN f ON i.document_id = f.document_id AND i.page_num = f.page_num AND i.image_no = f.image_no AND rn = 1""")
+def figure_captions(spark, d):
+    return structure.figure_captions(values(spark, "images").drop("label"), values(spark, "figure_blocks"))
+
+
+@query(f"""WITH {values_sql('images')}, {values_sql('figure_blocks')}, j AS (SELECT i.document_id, i.page_num, i.image_no, block_no, text FROM images i JOIN figure_blocks b ON i.document_id = b.document_id AND i.page_num = b.page_num WHERE bx1 >= x0 - 30 AND bx0 <= x1 + 30 AND by1 >= y0 - 150 AND by0 <= y1 + 150 AND length(trim(text)) >= 20 AND NOT regexp_matches(text, {lit(D.FIG_LABEL)}))
+SELECT i.document_id, i.page_num, i.image_no, coalesce(substr(string_agg({collapse('j.text')}, ' … ' ORDER BY block_no), 1, 400), '') AS surrounding_text FROM images i LEFT JOIN j USING (document_id, page_num, image_no) GROUP BY 1, 2, 3""")
+def figure_context(spark, d):
+    return structure.figure_context(values(spark, "images").drop("label"), values(spark, "figure_blocks"))

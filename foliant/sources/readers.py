@@ -24,7 +24,9 @@ def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf", recurs
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHUNKS) -> DataFrame:
     """Records line by line; blank and malformed lines are skipped."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    text = spark.read.text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = text.select(F.from_json("value", f"{schema}, _bad string", options).alias("r")).select("r.*")
     return rows.where(F.col("_bad").isNull()).drop("_bad")
 
 
