@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._arrow import id_schema, map_batches
+from foliant.llm.sample import bounded_sample
 from foliant.llm.words import NO, Corpus, Memo, flags
 
 LANGS = ("en", "es", "de", "fr", "pt")
@@ -120,9 +121,8 @@ def fit_words(texts: list[str], labels: list[str | None]) -> Words:
 
 def train(df: DataFrame, id_col: str, text: str, label: str, most: int = MAX_LABELLED) -> Words:
     """At most ``most`` labelled rows, those of the smallest hashes of the id."""
-    rows = df.where(F.col(text).isNotNull() & declared(F.col(label)).isin(*LANGS)).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text).alias("t"), declared(F.col(label)).alias("l"))
-    got = rows.orderBy("h", "t").limit(most).toLocalIterator()
-    pairs = [(r.t, r.l) for r in got]
+    rows = df.where(F.col(text).isNotNull() & declared(F.col(label)).isin(*LANGS)).select(F.col(id_col).alias("k"), declared(F.col(label)).alias("l"), F.col(text).alias("t"))
+    pairs = [(r.t, r.l) for r in bounded_sample(rows, "k", most).toLocalIterator()]
     return fit_words([t for t, _ in pairs], [x for _, x in pairs])
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm._arrow import id_schema, map_batches
 from foliant.llm.langid import seed_words
+from foliant.llm.sample import bounded_sample
 from foliant.llm.words import NO, Corpus, Memo, flags, whole
 
 MAX_LABELLED, ROUNDS, SHARE, MIN_DOCS, MIN_TOKENS, DESCRIPTION = 6000, 4, 1 / 6, 3, 4, 3
@@ -171,7 +172,7 @@ def decide(gains: np.ndarray, c: Corpus, n_texts: int, threshold: float, most: i
 def labelled_rows(df: DataFrame, id_col: str, text: str, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> list[tuple[str, list[str]]]:
     """At most ``most`` labelled documents, those of the smallest hashes of the id."""
     per = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_set(label)).alias("s"))
-    per = per.orderBy(F.xxhash64(id_col)).limit(most)
+    per = bounded_sample(per, id_col, most)
     got = df.select(id_col, text).join(per, id_col).select(F.xxhash64(id_col).alias("h"), F.col(text).alias("t"), "s")
     return [(r.t, list(r.s)) for r in sorted(got.toLocalIterator(), key=lambda r: (r.h, r.t or ""))]
 
