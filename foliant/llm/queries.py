@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import langid, leakage, names, neardup, pack, quality, scans, split, subjects, unify
-from foliant.session import table
+from foliant.session import spread, table
 
 WINDOW = "train_window"
 
 
+def texts_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of texts, over all cores however few files it has."""
+    return spread(table(spark, d, name))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that the splitter cuts."""
     return split.split_large(table(spark, d, "chunks"), ["chunk_id"], "text").where("piece = 0").select("chunk_id").distinct()
@@ -23,13 +28,13 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").where("chunk_type = 'text'")
+    chunks = texts_of(spark, d, "chunks").where("chunk_type = 'text'")
     return quality.quality_stats(chunks, ["chunk_id"], "text").where("kind in ('list', 'table', 'junk')").select("chunk_id", "kind").distinct()
 
 
 def p4_stats(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every delivered text row."""
-    return quality.quality_stats(table(spark, d, "chunks"), ["chunk_id"], "text")
+    return quality.quality_stats(texts_of(spark, d, "chunks"), ["chunk_id"], "text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,23 +57,23 @@ def capacity_of(spark: SparkSession, d: str, kind: str) -> int:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = pack.pack(table(spark, d, "documents"), "doc_id", "text", capacity_of(spark, d, WINDOW))
+    packed = pack.pack(texts_of(spark, d, "documents"), "doc_id", "text", capacity_of(spark, d, WINDOW))
     return packed.where("n_parts > 1").select("doc_id").distinct()
 
 
 def p8_bins(spark: SparkSession, d: str) -> DataFrame:
     """Every document's containers."""
-    return pack.pack(table(spark, d, "documents"), "doc_id", "text", capacity_of(spark, d, WINDOW))
+    return pack.pack(texts_of(spark, d, "documents"), "doc_id", "text", capacity_of(spark, d, WINDOW))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.leaked(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "eval_items"), "item_id", "text")
+    found = leakage.leaked(texts_of(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "eval_items"), "item_id", "text")
     return found.select("doc_id", "item_id").distinct()
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Every item with the number of documents that hold it, and the most of its words found in one."""
-    found = leakage.leaked(table(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "eval_items"), "item_id", "text")
+    found = leakage.leaked(texts_of(spark, d, "documents"), ["doc_id"], "text", table(spark, d, "eval_items"), "item_id", "text")
     n = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("most_words"))
     return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
 
@@ -76,7 +81,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 def languages(spark: SparkSession, d: str) -> DataFrame:
     """Languages of chunks (type text) and abstracts."""
     family = F.regexp_extract("source_file", r"^([^_]+)_", 1)
-    chunks = table(spark, d, "chunks").where("chunk_type = 'text'").select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), "text", "lang_label", F.col("document_id").alias("host"), family.alias("family"))
+    chunks = texts_of(spark, d, "chunks").where("chunk_type = 'text'").select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), "text", "lang_label", F.col("document_id").alias("host"), family.alias("family"))
     papers = table(spark, d, "academic").where("abstract is not null").select(F.lit("academic").alias("rec_kind"), F.col("paper_id").alias("rec_id"), F.col("abstract").alias("text"), "lang_label", F.col("paper_id").alias("host"), family.alias("family"))
     return langid.identify(chunks.unionByName(papers), ["rec_kind", "rec_id"], "text", "lang_label", "host", "family")
 
@@ -92,7 +97,7 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subject_rows(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts_of(spark, d, "documents")
     areas = table(spark, d, "subject_areas").where("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).orderBy("subject").collect()
     described = [(r.description, [r.subject]) for r in areas if r.description] * subjects.DESCRIPTION
     models = subjects.train(subjects.labelled_rows(docs, "doc_id", "text", table(spark, d, "subject_labels"), "subject") + described, [r.subject for r in areas])
@@ -127,7 +132,7 @@ CHUNK_THRESHOLD, CHUNK_WIDTH = 0.5, 3  # as problem 3 is stated for this project
 
 
 def near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return neardup.near_duplicates(table(spark, d, "chunks").where("chunk_type = 'text'"), "chunk_id", "text", CHUNK_THRESHOLD, CHUNK_WIDTH)
+    return neardup.near_duplicates(texts_of(spark, d, "chunks").where("chunk_type = 'text'"), "chunk_id", "text", CHUNK_THRESHOLD, CHUNK_WIDTH)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -146,12 +151,12 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate documents: five words, similarity 0.8."""
-    return neardup.groups(*neardup.near_duplicates(table(spark, d, "documents"), "doc_id", "text", 0.8, 5), "doc_id")
+    return neardup.groups(*neardup.near_duplicates(texts_of(spark, d, "documents"), "doc_id", "text", 0.8, 5), "doc_id")
 
 
 def scan_noise(spark: SparkSession, d: str, want_text: bool = False) -> DataFrame:
     """Findings over all pages and all chunks."""
-    docs, chunks = table(spark, d, "extractions"), table(spark, d, "chunks")
+    docs, chunks = texts_of(spark, d, "extractions"), texts_of(spark, d, "chunks")
     texts = docs.select(F.explode("raw_text_by_page").alias("t")).unionByName(chunks.select(F.col("text").alias("t")))
     reader = scans.reader_of(texts, "t")
     pages = scans.find_pages(docs.select(F.lit("extraction").alias("rec_kind"), F.col("document_id").alias("rec_id"), "raw_text_by_page"), ["rec_kind", "rec_id"], "raw_text_by_page", reader, want_text)
