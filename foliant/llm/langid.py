@@ -169,14 +169,14 @@ def host_priors(df: DataFrame, host: str, family: str, label: str) -> DataFrame:
     base = df.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.coalesce(F.col(family), F.lit("")).alias("family"), lang.alias("l"))
     by_host = base.groupBy("host", "family").agg(*[F.count_if(F.col("l") == x).alias(x) for x in LANGS])
     by_family = by_host.groupBy("family").agg(*[F.sum(x).alias(f"f_{x}") for x in LANGS])
-    total = by_family.agg(*[F.sum(f"f_{x}").alias(f"t_{x}") for x in LANGS])
-    all_n = sum((F.col(f"t_{x}") for x in LANGS), F.lit(0))
+    total = base.agg(*[F.count_if(F.col("l") == x).alias(x) for x in LANGS]).first()  # five numbers
+    all_n = sum(total[x] for x in LANGS)
     fam_n = sum((F.col(f"f_{x}") for x in LANGS), F.lit(0))
     host_n = sum((F.col(x) for x in LANGS), F.lit(0))
-    p0 = {x: (F.col(f"t_{x}") + 1) / (all_n + len(LANGS)) for x in LANGS}
+    p0 = {x: (total[x] + 1) / (all_n + len(LANGS)) for x in LANGS}
     p1 = {x: (F.col(f"f_{x}") + FAMILY_WEIGHT * p0[x]) / (fam_n + FAMILY_WEIGHT) for x in LANGS}
     p2 = [F.log((F.col(x) + HOST_WEIGHT * F.col(f"p_{x}")) / (host_n + HOST_WEIGHT)) for x in LANGS]
-    families = by_family.join(F.broadcast(total)).select("family", *[p1[x].alias(f"p_{x}") for x in LANGS])  # total is one row
+    families = by_family.select("family", *[p1[x].alias(f"p_{x}") for x in LANGS])
     # one row per host, also where a host has several families
     per = by_host.join(families, "family").select("host", F.array(*p2).alias("prior"), host_n.alias("n"))
     return per.groupBy("host").agg(F.max_by("prior", F.struct("n", "prior")).alias("prior"))
