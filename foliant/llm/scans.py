@@ -3,10 +3,12 @@
 Method
 
 * A vocabulary of the corpus: words whose share of all words is at least ``MIN_SHARE``, so there are at most
-  ``1 / MIN_SHARE`` of them however large the corpus is; that bounded table goes to every worker as a trie.
+  ``1 / MIN_SHARE`` of them however large the corpus is; that bounded table goes to every worker as a trie. Words below that
+  share that are seen ``MIN_COUNT`` times are looked up for all misread words by a join on a key that misreadings leave alone
+  (``rare_readings``); only the misread words so found, with their right words, go to the workers.
 * Every unknown word gives a generalised Levenshtein automaton (restricted substitutions, merges and splits: a letter, or
-  a group of letters, read for another), which is intersected with the trie. All words within the allowed number of
-  misreadings are found, none is missed. Candidates are ranked by misreadings, then by context (the word occurs
+  a group of letters, read for another), which is intersected with the trie. All words of the trie or of the join within the
+  allowed number of misreadings are found. Candidates are ranked by misreadings, then by context (the word occurs
   elsewhere in the same text), then by frequency. Words of names that hold a digit are repaired by a letter model.
 * Page furniture: lines at the edges of a document's pages that come again on other pages (digits and misreadings ignored),
   and lines that hold a number only and count up with the pages.
@@ -25,7 +27,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._arrow import id_schema, map_batches
@@ -33,7 +35,7 @@ from foliant.llm.names import edit
 from foliant.llm.words import EDGES, Memo, plain
 from foliant.session import cut
 
-MIN_SHARE, MIN_COUNT, SALTS, MAX_UNKNOWN, HEADING = 5e-6, 4, 8, 0.4, "\n"
+MIN_SHARE, MIN_COUNT, SALTS, MAX_UNKNOWN, HEADING, RARER = 5e-6, 4, 8, 0.4, "\n", 10
 HYPHENS = "-¬­‐"
 # What is read for what. Left: as printed, right: as read.
 MISREAD = (
@@ -89,6 +91,17 @@ def candidates(trie: dict, word: str, most: int) -> dict[str, tuple[int, int]]:
     return found
 
 
+def most_misreadings(word: str) -> int:
+    """How many misreadings a word may hold; none if it is too short or has too few letters to tell."""
+    return 0 if len(word) < 3 or sum(map(str.isalpha, word)) < 2 else 1 if len(word) < 6 else 2 if len(word) < 12 else 3
+
+
+def may_be_misread(word: str) -> bool:
+    """Whether a word holds digits, but as few as misread letters may give."""
+    digits = sum(map(str.isdigit, word))
+    return 0 < digits <= max(1, len(word) // 3) and word.isalnum() and most_misreadings(word) > 0
+
+
 class Letters:
     """A letter-trigram model of the vocabulary, for names that are in no vocabulary."""
 
@@ -109,8 +122,13 @@ class Letters:
 class Reader:
     """Knows the vocabulary, and for a token says what was printed."""
 
-    def __init__(self, words: dict[str, int], caps: dict[str, int], headings: frozenset[str] = frozenset()):
-        self.words, self.caps, self.headings = words, caps, headings
+    def __init__(self, words: dict[str, int], caps: dict[str, int], headings: frozenset[str] = frozenset(), rare: dict[str, list[tuple[int, int, int, str]]] | None = None):
+        """``rare``: misread word -> (misreadings, count, times with a capital, right word), the right words being in no trie."""
+        self.words, self.headings = words, headings
+        self.rare = {w: {right: (used, n) for used, n, _, right in got} for w, got in (rare or {}).items()}
+        seen = [x for got in (rare or {}).values() for x in got]
+        self.count = words | {right: n for _, n, _, right in seen}
+        self.caps = caps | {right: c for _, _, c, right in seen}
         self.trie, self.letters = Trie(words), Letters(words)
         self.plain = Memo(plain)
         self.known = Memo(self._known)
@@ -123,9 +141,9 @@ class Reader:
         return all(len(p) < 2 and not p.isdigit() or p in self.words for p in PARTED.split(w))
 
     def _options(self, word: str) -> list[tuple[int, int, str]]:
-        if len(word) < 3 or sum(map(str.isalpha, word)) < 2:
+        if not (most := most_misreadings(word)):
             return []
-        got = candidates(self.trie, word, 1 if len(word) < 6 else 2 if len(word) < 12 else 3)
+        got = candidates(self.trie, word, most) | self.rare.get(word, {})
         least = min((u for u, _ in got.values()), default=0)
         return sorted((u, -n, w) for w, (u, n) in got.items() if u == least)
 
@@ -155,9 +173,9 @@ class Reader:
                 return None
             options = self.options[part]
             if cap and not starts and not digits:
-                options = [x for x in options if self.caps.get(x[2], 0) * 2 >= self.words[x[2]]]
+                options = [x for x in options if self.caps.get(x[2], 0) * 2 >= self.count[x[2]]]
             elif not cap and not digits:
-                options = [x for x in options if self.caps.get(x[2], 0) < 0.9 * self.words[x[2]]]
+                options = [x for x in options if self.caps.get(x[2], 0) < 0.9 * self.count[x[2]]]
             if options:
                 out.append(min(options, key=lambda x: (x[0], x[2] not in context, x[1]))[2])
                 changed = True
@@ -437,7 +455,8 @@ def find_in_chunk(reader: Reader, text: str, keys: set[str], offsets: list[int],
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """(word, n, caps) over all texts; cut words are joined, so parts don't count. ``caps``: times written with a capital."""
+    """(word, n, caps) over all texts; cut words are joined, so parts don't count. ``caps``: times written with a capital.
+    Words with a few digits among their letters are counted too."""
 
     def make():
         pl = Memo(plain)
@@ -460,7 +479,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
                     continue
                 cap = token.strip(EDGES)[:1].isupper()
                 for part in {w, *PARTED.split(w)} if "-" in w or "'" in w or "’" in w else (w,):
-                    if part.replace("-", "").replace("'", "").replace("’", "").isalpha():
+                    if part.replace("-", "").replace("'", "").replace("’", "").isalpha() or may_be_misread(part):
                         n[part] += k
                         caps[part] += k * cap
             # words of one batch that are rare everywhere are most of the rows; they are summed before the shuffle
@@ -472,14 +491,57 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("caps").alias("caps"))
 
 
+def misread_key(word: Column) -> Column:
+    """Equal for any two words that MISREAD makes of one another: letters with strokes only count as one stroke, a run of them too."""
+    key = F.translate(F.replace(word, F.lit("d"), F.lit("cl")), "l1rnuvymwtfhb6éa0ce592q", "iiiiiiiiiiiiiiioooosgzg")
+    return F.regexp_replace(key, "i+", "i")
+
+
+def rare_readings(counts: DataFrame, floor: int, reader: Reader) -> DataFrame:
+    """(word, used, n, caps, right): the words too rare for the reader's vocabulary (MIN_COUNT times at least, less than ``floor``)
+    with each word that is read for them: one seen less than MIN_COUNT times, or RARER times less often than the right word.
+    Words that the reader takes for misreadings themselves are not right. Words meet by ``misread_key``; none is sent to all tasks."""
+    words = counts.where((F.col("n") < floor) & ~F.startswith("word", F.lit(HEADING))).withColumn("key", misread_key(F.col("word")))
+    right = words.where((F.col("n") >= MIN_COUNT) & ~F.col("word").rlike("[0-9]")).select("key", F.col("word").alias("right"), F.col("n").alias("n_right"), F.col("caps").alias("caps_right"))
+    near = F.abs(F.length("word") - F.length("right")) <= 3  # a misreading changes the length by one at most
+    rarer = (F.col("n") < MIN_COUNT) | (F.col("n") * RARER <= F.col("n_right"))
+    pairs = words.join(right, "key").where(near & rarer & (F.col("word") != F.col("right"))).select("word", "right", "n_right", "caps_right")
+
+    def make():
+        def misread(right: str, caps: int, n: int) -> bool:
+            return reader.printed(right.capitalize() if caps == n else right, (), False) is not None
+
+        def work(b: pa.RecordBatch) -> dict:
+            out = []
+            for word, right, n, caps in zip(*(b.column(k).to_pylist() for k in range(4))):
+                most = most_misreadings(word)
+                used = candidates(Trie({right: n}), word, most).get(right, (0, 0))[0] if most else 0
+                if used and not misread(right, caps, n):
+                    out.append((word, used, n, caps, right))
+            kinds = {"word": pa.string(), "used": pa.int32(), "n": pa.int64(), "caps": pa.int64(), "right": pa.string()}
+            return {c: pa.array([x[k] for x in out], kind) for k, (c, kind) in enumerate(kinds.items())}
+
+        return work
+
+    return map_batches(pairs, make, "word string, used int, n bigint, caps bigint, right string")
+
+
 def reader_of(texts: DataFrame, text: str) -> Reader:
-    """The vocabulary of all texts: words of at least MIN_SHARE of all, and MIN_COUNT; at most 1 / MIN_SHARE words."""
+    """The vocabulary of all texts: words of at least MIN_SHARE of all, and MIN_COUNT; at most 1 / MIN_SHARE words. Words
+    below that share, but of MIN_COUNT, are known by the words that are misread for them."""
     counts = cut(word_counts(texts, text))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(MIN_COUNT, math.ceil(MIN_SHARE * total))).collect()
+    in_words = F.startswith("word", F.lit(HEADING)) | ~F.col("word").rlike("[0-9]")
+    total = counts.where(in_words).agg(F.sum("n")).first()[0] or 0
+    floor = max(MIN_COUNT, math.ceil(MIN_SHARE * total))
+    kept = counts.where(in_words & (F.col("n") >= floor)).collect()
     heads = frozenset(r.word[1:] for r in kept if r.word[:1] == HEADING)
     kept = [r for r in kept if r.word[:1] != HEADING]
-    return Reader({r.word: r.n for r in kept}, {r.word: r.caps for r in kept}, heads)
+    words, caps = {r.word: r.n for r in kept}, {r.word: r.caps for r in kept}
+    rare: dict[str, list[tuple[int, int, int, str]]] = {}
+    if floor > MIN_COUNT:
+        for r in rare_readings(counts, floor, Reader(words, caps)).collect():
+            rare.setdefault(r.word, []).append((r.used, r.n, r.caps, r.right))
+    return Reader(words, caps, heads, rare)
 
 
 FOUND = "page_num int, noise string, token string"

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliant.llm import langid, leakage, names, neardup, pack, quality, scans, split, subjects, unify
 
@@ -88,6 +89,21 @@ def test_scan_frames(spark):
     assert reader.words == {}
 
 
+def test_rare_words_are_found_in_a_large_corpus(spark):
+    many = "the " * 1_400_000 + "limitation " * 300  # words of less than 8 of the total are outside the vocabulary
+    rare = "saw Stairfaisnu and Vlersor here. " * 5 + "saw Stalrfaisnu and Vlcrsor and V1ersor, lirnitation lirnitation lirnitation lirnitation lirnitotion here."
+    reader = scans.reader_of(spark.createDataFrame([(many,), (rare,)], "t string"), "t")
+    assert "stairfaisnu" not in reader.words
+    assert [reader.printed(w, (), False) for w in ("Stalrfaisnu", "Vlcrsor", "V1ersor", "Stairfaisnu")] == ["stairfaisnu", "vlersor", "vlersor", None]
+    assert reader.printed("lirnitotion", (), False) == "limitation"  # and not lirnitation, which is misread itself
+    assert all(w in ("stalrfaisnu", "vlcrsor", "v1ersor") for w in reader.rare)
+
+
+def test_misreadings_keep_the_key(spark):
+    df = spark.createDataFrame([(f"x{p}x", f"x{r}x") for p, r in scans.MISREAD], "p string, r string")
+    assert df.where(scans.misread_key(F.col("p")) != scans.misread_key(F.col("r"))).count() == 0
+
+
 def test_chunk_furniture(spark):
     marks = spark.createDataFrame([("d", [scans.fold_line("Printed at Here")], [6], 3)], "doc string, keys array<string>, offsets array<bigint>, n_pages int")
     df = spark.createDataFrame([("k", "d", "The compres-\nPrinted at Here\n8\nsor was measured", 2, 3), ("n", None, None, None, None), ("e", "d", "", 1, 1)], "id string, doc string, text string, a int, b int")
