@@ -161,8 +161,8 @@ def scan_noise(spark: SparkSession, d: str, want_text: bool = False) -> DataFram
     reader = scans.reader_of(texts, "t")
     pages = scans.find_pages(docs.select(F.lit("extraction").alias("rec_kind"), F.col("document_id").alias("rec_id"), "raw_text_by_page"), ["rec_kind", "rec_id"], "raw_text_by_page", reader, want_text)
     marks = scans.page_furniture(docs, "document_id", "raw_text_by_page", reader.headings)
-    rows = chunks.where("chunk_type = 'text'").withColumns({"rec_kind": F.lit("chunk"), "rec_id": F.col("chunk_id")})
-    parts = scans.find_chunks(rows, ["rec_kind", "rec_id"], "document_id", "text", "page_start", "page_end", marks, reader, want_text)
+    rows = chunks.withColumns({"rec_kind": F.lit("chunk"), "rec_id": F.col("chunk_id")})
+    parts = scans.find_chunks(rows, ["rec_kind", "rec_id"], "document_id", "text", "page_start", "page_end", marks, reader, want_text, F.col("chunk_type").isin("table", "equation"))
     return pages.unionByName(parts)
 
 

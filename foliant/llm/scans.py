@@ -157,8 +157,8 @@ class Reader:
             forms = [f + p for f in forms[:64] for p in puts]
         return max(forms, key=lambda f: (f in context, self.letters.score(f)))
 
-    def printed(self, token: str, context: dict[str, int] | set[str], starts: bool) -> str | None:
-        """The right word of a misread token, or None. ``starts``: the token begins a sentence."""
+    def printed(self, token: str, context: dict[str, int] | set[str], starts: bool, guess: bool = True) -> str | None:
+        """The right word of a misread token, or None. ``starts``: the token begins a sentence. ``guess``: names may be read by the letter model."""
         w = self.plain[token]
         bare = token.strip(EDGES)
         cap = bare[:1].isupper()
@@ -179,7 +179,7 @@ class Reader:
             if options:
                 out.append(min(options, key=lambda x: (x[0], x[2] not in context, x[1]))[2])
                 changed = True
-            elif digits and len(part) > 4 and not part[:1].isdigit() | part[-1:].isdigit() and (fixed := self.digits_out(part, context)):
+            elif guess and digits and len(part) > 4 and not part[:1].isdigit() | part[-1:].isdigit() and (fixed := self.digits_out(part, context)):
                 out.append(fixed)
                 changed = True
             else:
@@ -454,6 +454,22 @@ def find_in_chunk(reader: Reader, text: str, keys: set[str], offsets: list[int],
     return found + more, repaired
 
 
+def find_in_lines(reader: Reader, text: str, want_text: bool) -> tuple[list[tuple[int, str, str]], str | None]:
+    """Misread words of a table or an equation. It holds no furniture and no cut words, and its lines and spaces stay.
+    Digits stand in names of files and in formulas there, so only known words are put for them."""
+    parts = re.split(r"(\s+)", text)
+    tokens = parts[::2]
+    readable = sum(reader.known[t] for t in tokens if t) >= (1 - MAX_UNKNOWN) * sum(map(bool, tokens))
+    found: list[tuple[int, str, str]] = []
+    for k, t in enumerate(tokens):
+        if readable and t and not reader.known[t]:
+            begins = k == 0 or "\n" in parts[2 * k - 1] or sentence_start(tokens, k)
+            if fix := reader.printed(t, (), begins, guess=False):
+                found.append((0, "misread", fix))
+                parts[2 * k] = like(t, fix)
+    return found, "".join(parts) if want_text else None
+
+
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """(word, n, caps) over all texts; cut words are joined, so parts don't count. ``caps``: times written with a capital.
     Words with a few digits among their letters are counted too."""
@@ -590,22 +606,23 @@ def page_furniture(df: DataFrame, doc: str, pages: str, headings: frozenset[str]
     return rows.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"), F.array_distinct(F.flatten(F.collect_set("offsets"))).alias("offsets"), F.max("n_pages").alias("n_pages"))
 
 
-def find_chunks(df: DataFrame, ids: list[str], doc: str, text: str, page_start: str, page_end: str, marks: DataFrame, reader: Reader, want_text: bool = False) -> DataFrame:
-    """``marks``: page_furniture of the documents. Only texts of several lines meet it; a hot document's chunks go over SALTS tasks."""
+def find_chunks(df: DataFrame, ids: list[str], doc: str, text: str, page_start: str, page_end: str, marks: DataFrame, reader: Reader, want_text: bool = False, laid_out: Column | None = None) -> DataFrame:
+    """``marks``: page_furniture of the documents. Only texts of several lines meet it; a hot document's chunks go over SALTS tasks.
+    ``laid_out``: rows whose lines are no running text (tables, equations); they meet no furniture and aren't reflowed."""
     n = len(ids)
-    base = df.where(F.col(text).isNotNull()).select(*ids, F.col(doc).cast("string").alias("__doc"), F.col(text).alias("__t"), F.col(page_start).cast("int").alias("__a"), F.col(page_end).cast("int").alias("__b"))
-    wrapped = F.col("__t").contains("\n")
+    base = df.where(F.col(text).isNotNull()).select(*ids, F.col(doc).cast("string").alias("__doc"), F.col(text).alias("__t"), F.col(page_start).cast("int").alias("__a"), F.col(page_end).cast("int").alias("__b"), F.coalesce(F.lit(False) if laid_out is None else laid_out, F.lit(False)).alias("__l"))
+    wrapped = F.col("__t").contains("\n") & ~F.col("__l")
     some = marks.where((F.size("keys") > 0) | (F.size("offsets") > 0)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = base.where(wrapped).withColumn("__salt", F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int"))
-    met = left.join(some, (left["__doc"] == some["doc"]) & (left["__salt"] == some["salt"]), "left").select(*ids, "__t", "__a", "__b", "keys", "offsets")
-    single = base.where(~wrapped).select(*ids, "__t", "__a", "__b", F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("array<bigint>").alias("offsets"))
+    met = left.join(some, (left["__doc"] == some["doc"]) & (left["__salt"] == some["salt"]), "left").select(*ids, "__t", "__a", "__b", "keys", "offsets", "__l")
+    single = base.where(~wrapped).select(*ids, "__t", "__a", "__b", F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("array<bigint>").alias("offsets"), "__l")
 
     def make():
         def work(b: pa.RecordBatch) -> dict:
             out = []
-            cols = [b.column(n + k).to_pylist() for k in range(5)]
-            for i, (t, a, z, keys, offsets) in enumerate(zip(*cols)):
-                found, repaired = find_in_chunk(reader, t, set(keys or ()), offsets or [], 0, a or 0, z or 10**6, want_text)
+            cols = [b.column(n + k).to_pylist() for k in range(6)]
+            for i, (t, a, z, keys, offsets, lines) in enumerate(zip(*cols)):
+                found, repaired = find_in_lines(reader, t, want_text) if lines else find_in_chunk(reader, t, set(keys or ()), offsets or [], 0, a or 0, z or 10**6, want_text)
                 out += [(i, *x) for x in dict.fromkeys(found)]
                 if want_text:
                     out.append((i, 0, "text", repaired))

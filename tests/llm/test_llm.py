@@ -111,6 +111,23 @@ def test_chunk_furniture(spark):
     assert got == {("k", "running_line", "Printed at Here"), ("k", "page_number", "8"), ("k", "broken_word", "compressor")}
 
 
+def test_tables_keep_their_lines(spark):
+    marks = spark.createDataFrame([("d", [scans.fold_line("value | 3")], [6], 3)], "doc string, keys array<string>, offsets array<bigint>, n_pages int")
+    text = "the value was  measured\nvalue | 3\n\nc0mpressor | 8\n8\nwell paper_kula_000150.pdf"
+    df = spark.createDataFrame([(k, "d", text, 2, 3, k) for k in ("table", "equation")] + [(None, "d", "The compres-\nsor was measured", 2, 3, None)], "id string, doc string, text string, a int, b int, kind string")
+    got = {(r["id"], r["noise"], r["token"]) for r in rows(scans.find_chunks(df, ["id"], "doc", "text", "a", "b", marks, a_reader(), True, F.col("kind").isin("table", "equation")))}
+    fixed = text.replace("c0mpressor", "compressor")
+    assert got == {(k, n, t) for k in ("table", "equation") for n, t in (("misread", "compressor"), ("text", fixed))} | {(None, "broken_word", "compressor"), (None, "text", "The compressor was measured")}
+
+
+def test_every_chunk_is_repaired(spark, data):
+    from foliant.llm.queries import p1_repaired
+    from foliant.session import table
+
+    got = {r["rec_id"] for r in rows(p1_repaired(spark, data).where("rec_kind = 'chunk'"))}
+    assert got == {r["chunk_id"] for r in rows(table(spark, data, "chunks").where("text is not null"))}
+
+
 # ---- 2 split
 
 
