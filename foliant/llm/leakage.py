@@ -2,7 +2,7 @@
 
 Method: winnowing. Texts become words (case, punctuation, numbering and look-alike characters ignored). Over the
 hashes of all runs of ``K`` words, the smallest of every ``W`` consecutive ones is kept, for items and documents
-alike; equal fingerprints are joined, and each hit is extended along its diagonal. Any shared span of ``K + W - 1``
+alike; equal fingerprints are joined, and each hit is extended along its diagonal, however many there are. Any shared span of ``K + W - 1``
 words has a fingerprint in common. Twenty words in two places with two exchanged words always hold an unaltered run of
 five, so with K = 4 and W = 2 no case is missed.
 
@@ -118,6 +118,30 @@ def best_span(match: np.ndarray) -> tuple[int, int, int]:
     return int(ons[a]), int(ons[b]) + 1, int(size[a, b])
 
 
+def best_places(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
+    """The most words in at most two places in the item's order, and the number of places. Spans: start, end, words, diagonal.
+
+    Shifted spans that follow one another within three words are one place."""
+    if not spans:
+        return 0, 0
+    a, b, n, d = np.array(sorted(spans), dtype=np.int64).T
+    gap = (a + d)[None, :] - (b + d)[:, None] + 1
+    after = (a[None, :] >= b[:, None] - 1) & (gap >= 0) & (gap <= 4)  # row: a span, column: one that goes on with it
+    ending, beginning = n.copy(), n.copy()  # words of the best place that ends, or begins, with each span
+    for k in range(len(n)):
+        if len(before := np.flatnonzero(after[:k, k])):
+            ending[k] += ending[before].max()
+    for k in reversed(range(len(n))):
+        if len(later := k + 1 + np.flatnonzero(after[k, k + 1 :])):
+            beginning[k] += beginning[later].max()
+    one = int(ending.max())
+    rest = np.maximum.accumulate(beginning[::-1])[::-1]  # spans are in the order of their starts
+    first = np.searchsorted(a, b, "left")
+    some = first < len(a)
+    two = int((ending[some] + rest[first[some]]).max()) if some.any() else 0
+    return (two, 2) if two > one else (one, 1)
+
+
 def extend(index: Index, doc: np.ndarray, p: np.ndarray, i: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int]]:
     """(item, words, places) of the items found in one document."""
     diag = p - q
@@ -133,27 +157,11 @@ def extend(index: Index, doc: np.ndarray, p: np.ndarray, i: np.ndarray, q: np.nd
         if int(total[mine].sum()) < MIN_WORDS:
             continue
         spans = []
-        for m in mine[np.argsort(-total[mine])][:64]:
+        for m in mine[total[mine] >= MIN_PLACE]:
             a, b, n = best_span(match[m].astype(np.float64))
             if n >= MIN_PLACE:
                 spans.append((a, b, n, int(pairs[m, 1])))
-        best = places = 0
-        # shifted spans that follow one another within three words are one place
-        merged = []
-        for a, b, n, d in sorted(spans):
-            last = merged[-1] if merged else None
-            if last and a >= last[1] - 1 and 0 <= (a + d) - (last[1] + last[3]) + 1 <= 4:
-                merged[-1] = (last[0], b, last[2] + n, d)
-            else:
-                merged.append((a, b, n, d))
-        merged += spans
-        for x in merged:
-            if x[2] > best:
-                best, places = x[2], 1
-        for x in merged:
-            for y in merged:
-                if y[0] >= x[1] and x[2] + y[2] > best:
-                    best, places = x[2] + y[2], 2
+        best, places = best_places(spans)
         if best >= MIN_WORDS:
             found.append((int(item), best, places))
     return found

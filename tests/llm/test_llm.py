@@ -431,6 +431,30 @@ def test_planted_passages(spark):
     assert leakage.leaked(df, ["doc_id"], "text", it.where("false"), "item_id", "text").count() == 0
 
 
+def test_repetitive_documents_keep_their_second_place(spark):
+    w = an_item(random.Random(3), 24).split()
+    first, second = w[:12], w[12:]
+    second[6] = "other"
+    docs = [(1, " . ".join([" ".join(first)] * 80) + " filler words between them all " + " ".join(second)), (2, " . ".join([" ".join(first)] * 80))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(5, " ".join(w))], "item_id bigint, text string")
+    got = rows(leakage.leaked(df, ["doc_id"], "text", it, "item_id", "text"))
+    assert [(r["doc_id"], r["item_id"], r["n_words"], r["places"]) for r in got] == [(1, 5, 23, 2)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_best_places_equal_brute_force(seed):
+    rng = random.Random(seed)
+    spans = [(a, a + rng.randrange(7, 12), rng.randrange(7, 12), rng.randrange(6)) for a in (rng.randrange(30) for _ in range(7))]
+    chains = [[x] for x in sorted(spans)]
+    for c in chains:  # grows while it is read
+        chains += [[*c, y] for y in sorted(spans) if y > c[-1] and y[0] >= c[-1][1] - 1 and 0 <= y[0] + y[3] - c[-1][1] - c[-1][3] + 1 <= 4]
+    size = [sum(x[2] for x in c) for c in chains]
+    one = max(size)
+    two = max((m + n for c, m in zip(chains, size) for e, n in zip(chains, size) if e[0][0] >= c[-1][1]), default=0)
+    assert leakage.best_places(spans) == ((two, 2) if two > one else (one, 1))
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(200):
