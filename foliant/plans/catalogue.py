@@ -190,15 +190,10 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
     return adapted(spark, d).select("document_id", F.posexplode(chunking.pack(F.col("text"))).alias("pos", "text"))
 
 
-def _no_long_line(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """Without the documents that the word splitter cuts: that fold has no SQL and is tested against a model."""
-    long = adapted(spark, d).where(F.exists(chunking.paragraphs(F.col("text")), lambda p: F.length(p) > chunking.MOST)).select("document_id")
-    return df.join(long, "document_id", "left_anti")
-
-
 @query(f"{PACK} SELECT document_id, pos, text FROM r {NO_BIG}")
 def paragraph_chunks(spark, d):
-    return _no_long_line(packed(spark, d), spark, d).withColumn("pos", F.col("pos").cast("bigint"))
+    """Chunks of all documents. The SQL leaves out those with a paragraph that is split by words; tests hold these against a model."""
+    return packed(spark, d).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query()
@@ -214,7 +209,8 @@ x AS (SELECT document_id, pos, trim(CASE WHEN b IS NULL THEN text ELSE {TAIL} ||
 i AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS chunk_index, text FROM x WHERE length(text) >= 100)
 SELECT document_id, chunk_index, text, length(text) AS char_count, greatest(1, length(text) // 4) AS token_estimate FROM i""")
 def overlap_chunks(spark, d):
-    raw = _no_long_line(packed(spark, d), spark, d).withColumn("section_title", F.lit(None).cast("string"))
+    """As ``paragraph_chunks``, with overlap; its SQL leaves out the same documents."""
+    raw = packed(spark, d).withColumn("section_title", F.lit(None).cast("string"))
     c = chunking.index_chunks(chunking.with_overlap(raw)).drop("section_title")
     return c.withColumns({k: F.col(k).cast("bigint") for k in ("chunk_index", "char_count", "token_estimate")})
 

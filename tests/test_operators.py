@@ -13,6 +13,7 @@ from foliant.config import load_config
 from foliant.functions import detect as D
 from foliant.functions import text as T
 from foliant.operators import chunking, index, pages, report, retrieval
+from foliant.plans.catalogue import QUERIES
 from foliant.plans.pipeline import ingest
 from foliant.sources import readers, writers
 
@@ -61,6 +62,24 @@ def test_folds_equal_the_models(spark):
         assert r.h == split_model(texts[r.i], 30)
 
 
+def test_chunk_queries_hold_documents_with_long_lines(spark, tmp_path):
+    rng = random.Random(4)
+    line = lambda n: " ".join("w" * rng.randrange(1, 12) for _ in range(n))
+    texts = ["\n".join([line(40), line(900), line(60)]), line(2000), "\n".join(line(50) for _ in range(12)), "z" * 3500, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: pack_model(t.replace("\n", "\n\n"), 1000, 3000) for i, t in enumerate(texts)}
+    got = {(r.document_id, r.pos, r.text) for r in QUERIES["paragraph_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {(i, k, c) for i, cs in want.items() for k, c in enumerate(cs)}
+
+    def tail(b):
+        cut = b[-150:]
+        return b if len(b) <= 150 else cut[cut.find(" ") + 1 :] if cut.find(" ") > 0 else cut
+
+    lapped = {i: [(tail(cs[k - 1]) + "\n" if k else "") + c for k, c in enumerate(cs)] for i, cs in want.items()}
+    got = {(r.document_id, r.chunk_index, r.text) for r in QUERIES["overlap_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {(i, k, c) for i, cs in lapped.items() for k, c in enumerate([c.strip() for c in cs if len(c.strip()) >= 100])}
+
+
 def test_lines_equal_python(spark):
     for t in ["", "a", "a\n", "a\r\nb", "a\n\nb\n", "\n", "a b", "a\x0cb\x1e", "a\r"]:
         assert one(spark, t, T.lines) == t.splitlines()
