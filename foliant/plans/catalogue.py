@@ -149,8 +149,10 @@ def clean_pages(spark, d):
 
 @query()
 def nfkc_documents(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").where(t.rlike(r"[^\x00-\x7F]")).select("doc_id", T.nfkc(t).alias("text"))
+    """Every document; texts of ASCII only are in the form already and never leave the JVM."""
+    t, docs = F.col("text"), table(spark, d, "documents")
+    odd = t.rlike(r"[^\x00-\x7F]")
+    return docs.where(odd).select("doc_id", T.nfkc(t).alias("text")).unionByName(docs.where(t.isNull() | ~odd).select("doc_id", "text"))
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, ' {{2,}}', ' ', 'g'), '\\r\\n|\\r', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {WS}) AS text FROM documents")

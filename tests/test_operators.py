@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -80,6 +81,13 @@ def test_chunk_queries_hold_documents_with_long_lines(spark, tmp_path):
     assert got == {(i, k, c) for i, cs in lapped.items() for k, c in enumerate([c.strip() for c in cs if len(c.strip()) >= 100])}
 
 
+def test_every_document_has_its_composed_form(spark, tmp_path):
+    texts = ["plain", "ﬁne ①", None, "", "e\u0301"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in QUERIES["nfkc_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+
+
 def test_lines_equal_python(spark):
     for t in ["", "a", "a\n", "a\r\nb", "a\n\nb\n", "\n", "a b", "a\x0cb\x1e", "a\r"]:
         assert one(spark, t, T.lines) == t.splitlines()
