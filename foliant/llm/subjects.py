@@ -127,7 +127,7 @@ def train(rows: list[tuple[str, list[str]]], subjects: list[str]) -> Models | No
 
 
 def calibrate(gains: np.ndarray, prior: np.ndarray) -> float:
-    """The lowest gain from which on nine in ten accepted sentences agree with their document's label, in steps."""
+    """The lowest gain, in steps, at which six in ten of the sentences just above it agree with their document's label, or fewer than 20 are there."""
     best = gains.argmax(axis=1)
     gain = gains[np.arange(len(gains)), best]
     agrees = prior[np.arange(len(gains)), best] > 0
