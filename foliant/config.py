@@ -16,12 +16,6 @@ class Config:
     chunk_overlap: int = 150
     min_chunk_size: int = 100
     max_chunk_size: int = 3000
-    garbage_char_threshold: float = 0.05
-    min_quality_score: float = 0.5
-    critical_quality_score: float = 0.25
-    ocr_enabled: bool = True
-    ocr_lang: str = "eng"
-    ocr_dpi: int = 300
     embeddings_enabled: bool = True
     embeddings_batch_size: int = 32
     extract_academic_metadata: bool = True

@@ -15,7 +15,7 @@ PAGE_MARK = "[PAGE_BREAK]"
 PAGE_JOIN = "\n\n" + PAGE_MARK + "\n\n"
 RAW_JOIN = "\n\f\n"
 # Characters that show a failed extraction.
-GARBAGE = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\x{fffd}\\x{fffe}\\x{ffff}]"
+GARBAGE = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\ufffd\\ufffe\\uffff]"
 # What a heading looks like. Only the last ignores case.
 HEADINGS = (
     r"^(\d+\.)+\s+\S",
@@ -44,11 +44,6 @@ def norm_label(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
-def line_key(c: Column) -> Column:
-    """A line with its digits and case ignored."""
-    return strip(F.regexp_replace(F.lower(c), r"\d+", "#"))
-
-
 def final_cleanup(c: Column) -> Column:
     s = F.regexp_replace(c, " {2,}", " ")
     s = F.regexp_replace(s, "\r\n|\r", "\n")
@@ -63,16 +58,25 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def clean_signs(c: Column) -> Column:
+    """Form feeds and control characters of a page, before its characters are composed."""
+    return F.regexp_replace(F.regexp_replace(c, "\f", " "), GARBAGE, "")
+
+
+def clean_breaks(c: Column) -> Column:
+    """Hyphenation, blanks at line ends and runs of empty lines, after that."""
+    s = F.regexp_replace(c, "-\n([a-záéíóúñü])", "$1")
+    s = F.regexp_replace(s, "[ \t]+\n", "\n")
+    s = F.regexp_replace(s, "\n[ \t]+", "\n")
+    return strip(F.regexp_replace(s, "\n{3,}", "\n\n"))
+
+
 def clean_page(c: Column, compose: bool = True) -> Column:
     """One page: form feeds, control characters, compatibility forms, hyphenation and blanks at line ends."""
-    s = F.regexp_replace(c, "\f", " ")
-    s = F.regexp_replace(s, GARBAGE, "")
+    s = clean_signs(c)
     if compose:
         s = F.when(s.rlike(r"[^\x00-\x7F]"), nfkc(s)).otherwise(s)
-    s = F.regexp_replace(s, "-\n([a-záéíóúñü])", "$1")
-    s = F.regexp_replace(s, "[ \t]+\n", "\n")
-    s = F.regexp_replace(s, "\n[ \t]+", "\n")
-    return strip(F.regexp_replace(s, "\n{3,}", "\n\n"))
+    return clean_breaks(s)
 
 
 def garbage_ratio(c: Column) -> Column:

@@ -1,129 +1,146 @@
-"""Cutting documents into chunks: sections, greedy packing of paragraphs, overlap, page ranges."""
+"""Cutting documents into chunks: sections, greedy packing of paragraphs, overlap, page ranges.
+
+Everything that happens to one document happens in one pass over its text: no join, no exchange. The functions on
+strings are the model; the frames below run them over Arrow batches. White space and line ends are Unicode's.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliant.functions import text as T
+from foliant.functions.arrow import map_texts
 
-SIZE, OVERLAP, LEAST, MOST = 1000, 150, 100, 3000
+SIZE, OVERLAP, LEAST, MOST, SECTIONS = 1000, 150, 100, 3000, 3
 PROBE, STEP, REACH = 120, 50, 400
+PARTED = re.compile(r"\n{2,}|" + re.escape(T.PAGE_MARK))
+HEADING = [re.compile(p.replace("(?iu)", "(?i)")) for p in T.HEADINGS]
 
 
-def _texts() -> Column:
-    return F.array().cast("array<string>")
+def fill(weights: list[int], size: int) -> Iterator[slice]:
+    """Runs of consecutive units, each as long as its weights add up to ``size`` at most; a heavier unit is a run of its own."""
+    ends = [0, *accumulate(weights)]
+    at = 0
+    while at < len(weights):
+        to = max(at + 1, bisect_right(ends, ends[at] + size) - 1)
+        yield slice(at, to)
+        at = to
 
 
-def hard_split(c: Column, size: int) -> Column:
+def split_words(text: str, size: int) -> list[str]:
     """Words filled up to the size, each counting one more than its length; a longer word stays whole."""
-    words = F.filter(F.split(c, f"{T.WS_CLASS}+"), lambda w: w != "")
-    start = F.struct(_texts().alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    words = text.split()
+    return [" ".join(words[s]) for s in fill([len(w) + 1 for w in words], size)]
 
-    def step(a: Column, w: Column) -> Column:
-        full = (a["n"] + F.length(w) + 1 > size) & (a["cur"] != "")
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
-            F.when(full, w).otherwise(F.concat(a["cur"], F.when(a["cur"] == "", "").otherwise(" "), w)).alias("cur"),
-            F.when(full, F.length(w) + 1).otherwise(a["n"] + F.length(w) + 1).cast("int").alias("n"),
-        )
 
-    return F.aggregate(words, start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+def pack_paragraphs(text: str, size: int = SIZE, most: int = MOST) -> list[str]:
+    """Paragraphs packed greedily; one above ``most`` is split by words on its own. Joints between paragraphs don't count."""
+    out: list[str] = []
+    held: list[str] = []
+    for p in [*filter(None, (x.strip() for x in PARTED.split(text))), None]:
+        if p is not None and len(p) <= most:
+            held.append(p)
+            continue
+        out += ["\n\n".join(held[s]) for s in fill([len(x) for x in held], size)]
+        held = []
+        if p is not None:
+            out += split_words(p, size)
+    return out or [text]
 
 
-def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n{2,}|\[PAGE_BREAK\]"), T.strip), lambda p: p != "")
+def is_heading(line: str) -> bool:
+    s = line.strip()
+    return 3 <= len(s) <= 150 and any(p.search(s) for p in HEADING)
 
 
-def pack(c: Column, size: int = SIZE, most: int = MOST) -> Column:
-    """Paragraphs packed greedily; one above ``most`` is split by words on its own. Joints between paragraphs don't count."""
-    start = F.struct(_texts().alias("done"), _texts().alias("cur"), F.lit(0).alias("n"))
-    flush = lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.array_join(a["cur"], "\n\n")))).otherwise(a["done"])
+def cut_sections(text: str) -> list[tuple[int, str | None, str]]:
+    """(section_no, heading, text): a heading opens a section and stands in it; sections without text are left out."""
+    parts: list[tuple[str | None, list[str]]] = [(None, [])]
+    for line in text.splitlines():
+        if is_heading(line):
+            parts.append((line.strip()[:200], []))
+        parts[-1][1].append(line)
+    return [(k, heading, body) for k, (heading, lines) in enumerate(parts) if (body := "\n".join(lines).strip())]
 
-    def step(a: Column, p: Column) -> Column:
-        big = F.length(p) > most
-        full = (a["n"] + F.length(p) > size) & (F.size(a["cur"]) > 0)
-        return F.struct(
-            F.when(big, F.concat(flush(a), hard_split(p, size))).when(full, flush(a)).otherwise(a["done"]).alias("done"),
-            F.when(big, _texts()).when(full, F.array(p)).otherwise(F.concat(a["cur"], F.array(p))).alias("cur"),
-            F.when(big, 0).when(full, F.length(p)).otherwise(a["n"] + F.length(p)).cast("int").alias("n"),
-        )
 
-    got = F.aggregate(paragraphs(c), start, step, flush)
-    return F.when(F.size(got) == 0, F.array(c)).otherwise(got)
+def tail_words(text: str, n: int) -> str:
+    """The last n characters, begun after the first blank among them if there is one beyond the first place."""
+    last = text[-n:]
+    return last[last.find(" ") + 1 :] if len(text) > n and last.find(" ") > 0 else last
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """(document_id, section_no, heading, text): a heading opens a section and stands in it."""
-    rows = docs.select("document_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")).withColumn("head", T.is_heading(F.col("line")))
-    w = Window.partitionBy("document_id").orderBy("line_no")
-    rows = rows.withColumn("section_no", F.sum(F.col("head").cast("int")).over(w))
-    g = rows.groupBy("document_id", "section_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
-        F.min_by(F.when(F.col("head"), F.substring(T.strip(F.col("line")), 1, 200)), "line_no").alias("heading"),
-    )
-    return g.where(T.strip(F.col("text")) != "").select("document_id", F.col("section_no").cast("int").alias("section_no"), "heading", T.strip(F.col("text")).alias("text"))
-
-
-def raw_chunks(docs: DataFrame, size: int = SIZE, most: int = MOST, least_sections: int = 3) -> DataFrame:
-    """(document_id, pos, section_title, text). Three sections or more are cut by section, else by paragraph."""
-    sec = sections(docs)
-    n = sec.groupBy("document_id").agg(F.count("*").alias("n_sections"))
-    many = n.where(F.col("n_sections") >= least_sections).select("document_id")
-    pieces = F.when(F.length("text") <= most, F.array("text")).otherwise(pack(F.col("text"), size, most))
-    by_section = sec.join(many, "document_id", "left_semi").select("document_id", "section_no", "heading", F.posexplode(pieces).alias("k", "piece"))
-    a = by_section.select("document_id", "section_no", "k", F.when(F.col("k") == 0, F.col("heading")).alias("section_title"), F.col("piece").alias("text"))
-    flat = docs.join(many, "document_id", "left_anti").select("document_id", F.posexplode(pack(F.col("text"), size, most)).alias("k", "text"))
-    b = flat.select("document_id", F.lit(0).alias("section_no"), "k", F.lit(None).cast("string").alias("section_title"), "text")
-    w = Window.partitionBy("document_id").orderBy("section_no", "k")
-    return a.unionByName(b).select("document_id", (F.row_number().over(w) - 1).alias("pos"), "section_title", "text")
-
-
-def with_overlap(raw: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Each chunk begins with the tail of the one before, as that was before it got its own."""
-    if overlap <= 0:
-        return raw
-    w = Window.partitionBy("document_id").orderBy("pos")
-    before = F.lag("text").over(w)
-    return raw.withColumn("text", F.when(before.isNotNull(), F.concat(T.tail_words(before, overlap), F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
-
-
-def index_chunks(raw: DataFrame, least: int = LEAST) -> DataFrame:
-    """Texts trimmed, short ones dropped, the rest numbered from 0."""
-    w = Window.partitionBy("document_id").orderBy("pos")
-    kept = raw.withColumn("text", T.strip(F.col("text"))).where(F.length("text") >= least)
-    return kept.select("document_id", (F.row_number().over(w) - 1).alias("chunk_index"), "section_title", "text", F.length("text").alias("char_count"), T.token_estimate(F.col("text")).alias("token_estimate"))
+def overlapped(pieces: list[str], overlap: int) -> list[str]:
+    """Each piece begins with the tail of the one before, as that was before it got its own."""
+    return pieces if overlap <= 0 else [*pieces[:1], *(f"{tail_words(a, overlap)}\n{b}" for a, b in zip(pieces, pieces[1:]))]
+
+
+class PageFinder:
+    """Where a text stands in a document: the first of eight probes that is found places it; pages (1, 1) if none is."""
+
+    def __init__(self, text: str):
+        self.full = " ".join(text.split())
+        self.starts = [0, *(m.end() for m in re.finditer(re.escape(T.PAGE_MARK), self.full))]
+
+    def pages(self, piece: str) -> tuple[int, int]:
+        for s in range(0, min(REACH, len(piece)), STEP):
+            probe = " ".join(piece[s : s + PROBE].split())
+            if probe and (at := self.full.find(probe)) >= 0:
+                return bisect_right(self.starts, at), bisect_right(self.starts, at + len(" ".join(piece.split())))
+        return 1, 1
+
+
+def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most: int = MOST) -> list[tuple]:
+    """(chunk_index, section_title, text, char_count, token_estimate, page_start, page_end) of one document.
+
+    Three sections or more are cut by section, else by paragraph; short chunks are dropped and the rest numbered from 0.
+    """
+    sections = cut_sections(text)
+    pieces: list[tuple[str | None, str]] = []
+    for _, heading, body in sections if len(sections) >= SECTIONS else [(0, None, text)]:
+        cut = [body] if len(sections) >= SECTIONS and len(body) <= most else pack_paragraphs(body, size, most)
+        pieces += [(None if k else heading, x) for k, x in enumerate(cut)]
+    finder = PageFinder(text)
+    kept = [(title, s) for (title, _), x in zip(pieces, overlapped([x for _, x in pieces], overlap)) if len(s := x.strip()) >= least]
+    return [(k, title, s, len(s), max(1, len(s) // 4), *finder.pages(s)) for k, (title, s) in enumerate(kept)]
+
+
+CHUNK = "chunk_index int, section_title string, text string, char_count int, token_estimate int, page_start int, page_end int"
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Documents ``document_id, text`` to chunks."""
-    return index_chunks(with_overlap(raw_chunks(docs, size, most), overlap), least)
-
-
-def page_offsets(text: Column) -> Column:
-    """Where each page begins in the white-space-collapsed text with its marks."""
-    parts = F.split(T.collapse(text), r"\[PAGE_BREAK\]")
-    start = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("n"))
-    mark = len(T.PAGE_MARK)
-    step = lambda a, p: F.struct(F.concat(a["at"], F.array(a["n"] + F.length(p) + mark)).alias("at"), (a["n"] + F.length(p) + mark).alias("n"))
-    return F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda a: a["at"])
-
-
-def page_ranges(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """``page_start, page_end`` of each chunk: the first of eight probes found in the text places it; (1, 1) if none is."""
-    d = docs.select("document_id", T.collapse(F.col("text")).alias("__full"), page_offsets(F.col("text")).alias("__at"))
-    j = chunks.join(d, "document_id")
-    hits = []
-    for s in range(0, REACH, STEP):
-        probe = T.collapse(F.substring("text", s + 1, PROBE))
-        hits.append(F.when((F.length("text") > s) & (probe != ""), F.nullif(F.position(probe, F.col("__full")), F.lit(0))))
-    pos = F.coalesce(*hits) - 1
-    j = j.withColumn("__pos", pos).withColumn("__end", F.col("__pos") + F.length(T.collapse(F.col("text"))))
-    upto = lambda c: F.greatest(F.lit(1), F.size(F.filter("__at", lambda o: o <= F.col(c))))
-    first = F.when(F.col("__pos").isNull(), 1).otherwise(upto("__pos"))
-    last = F.when(F.col("__pos").isNull(), 1).otherwise(upto("__end"))
-    return j.withColumns({"page_start": first.cast("int"), "page_end": last.cast("int")}).drop("__full", "__at", "__pos", "__end")
+    """Documents ``document_id, text`` to chunks with their page ranges."""
+    return map_texts(docs, ["document_id"], "text", lambda t: chunk_text(t, size, overlap, least, most), CHUNK)
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(document_id, section_no, heading, text)."""
+    return map_texts(docs, ["document_id"], "text", cut_sections, "section_no int, heading string, text string")
+
+
+def paragraph_pieces(docs: DataFrame, size: int = SIZE, most: int = MOST) -> DataFrame:
+    """(document_id, pos, text) of the packed paragraphs."""
+    return map_texts(docs, ["document_id"], "text", lambda t: enumerate(pack_paragraphs(t, size, most)), "pos int, text string")
+
+
+def word_pieces(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(document_id, pos, text) of the packed words."""
+    return map_texts(docs, ["document_id"], "text", lambda t: enumerate(split_words(t, size)), "pos int, text string")
+
+
+def overlapped_pieces(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(document_id, chunk_index, text, char_count, token_estimate): packed paragraphs with overlap, short ones dropped."""
+
+    def rows(t: str) -> list[tuple]:
+        kept = [s for x in overlapped(pack_paragraphs(t, size, most), overlap) if len(s := x.strip()) >= least]
+        return [(k, s, len(s), max(1, len(s) // 4)) for k, s in enumerate(kept)]
+
+    return map_texts(docs, ["document_id"], "text", rows, "chunk_index int, text string, char_count int, token_estimate int")
 
 
 def special_chunks(tables: DataFrame, equations: DataFrame, figures: DataFrame | None, source: Column, least: int = LEAST) -> DataFrame:

@@ -23,6 +23,14 @@ def keyword_matches(chunks: DataFrame, query: str) -> DataFrame:
     return out
 
 
+def latest_matches(chunks: DataFrame, query: str, key: str, by: str) -> DataFrame:
+    """The matches among the last delivered rows. Texts are filtered where they are read; only keys and times of all rows are shuffled."""
+    newest = chunks.groupBy(F.col(key).alias("__k")).agg(F.max(by).alias("__t"))
+    hits = keyword_matches(chunks, query)
+    last = hits.join(newest, F.col(key).eqNullSafe(F.col("__k")) & F.col(by).eqNullSafe(F.col("__t"))).drop("__k", "__t")
+    return latest(last, [key], by)
+
+
 def keyword_search(chunks: DataFrame, query: str, k: int, order: list[str]) -> DataFrame:
     """The first k matches in index order; at least one."""
     return keyword_matches(chunks, query).orderBy(*order).limit(max(1, k))

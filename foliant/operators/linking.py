@@ -11,9 +11,14 @@ from foliant.functions.text import norm_label
 PATTERNS = {"figure": D.FIG_MENTION, "table": D.TABLE_MENTION, "equation": D.EQ_MENTION}
 
 
+def links() -> list[Column]:
+    """``linked_figures, linked_tables, linked_equations`` of a column ``text``."""
+    return [D.mentions(F.col("text"), p).alias(f"linked_{k}s") for k, p in PATTERNS.items()]
+
+
 def link_chunks(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, linked_figures, linked_tables, linked_equations)."""
-    return chunks.select("document_id", "chunk_id", *[D.mentions(F.col("text"), p).alias(f"linked_{k}s") for k, p in PATTERNS.items()])
+    return chunks.select("document_id", "chunk_id", *links())
 
 
 def mention_rows(chunks: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
@@ -26,40 +27,57 @@ class Generator(Protocol):
     def __call__(self, question: str, context: str) -> str: ...
 
 
+@functools.lru_cache(maxsize=200_000)
+def _place(word: str) -> int:
+    import hashlib
+
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hashed_words(texts: Sequence[str], dim: int = DIM) -> np.ndarray:
     """The default embedding: hashed words, signed, of unit length. The same everywhere and needs no model."""
-    import zlib
-
     out = np.zeros((len(texts), dim), dtype=np.float64)
     for i, t in enumerate(texts):
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1.0 if h & 0x80000000 else -1.0
+        h = np.fromiter(map(_place, (t or "").lower().split()), dtype=np.int64)
+        np.add.at(out[i], h % dim, np.where(h & 0x80000000, 1.0, -1.0))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
-def embed(df: DataFrame, text: str = "text", embedder: Callable[[Sequence[str]], np.ndarray] = hashed_words) -> DataFrame:
-    """``df`` with ``embedding``, batch by batch."""
+def embed(df: DataFrame, text: str = "text", embedder: Callable[[Sequence[str]], np.ndarray] = hashed_words, batch: int = 32) -> DataFrame:
+    """``df`` with ``embedding``; the embedder gets ``batch`` texts at a time. A batch that it fails on has null vectors."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(list(embedder(s.fillna("").tolist())))
+            texts, out = s.fillna("").tolist(), []
+            for k in range(0, len(texts), batch):
+                try:
+                    out += list(embedder(texts[k : k + batch]))
+                except Exception:  # noqa: BLE001
+                    out += [None] * len(texts[k : k + batch])
+            yield pd.Series(out, dtype=object)
 
     return df.withColumn("embedding", run(F.col(text)))
 
 
-def cosine_distance(a, b):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.lit(1.0) - F.try_divide(dot, size(a) * size(b))
+def total(parts: list[Column]) -> Column:
+    """A balanced sum, so long ones don't nest deeply."""
+    while len(parts) > 1:
+        parts = [sum(parts[k + 1 : k + 2], parts[k]) for k in range(0, len(parts), 2)]
+    return parts[0] if parts else F.lit(0.0)
+
+
+def cosine_distance(v: Column, query: Sequence[float]) -> Column:
+    """From a column of vectors to one vector; only places where that isn't 0 are multiplied. Null for other lengths and vectors of length 0."""
+    dot = total([F.get(v, F.lit(i)).cast("double") * float(x) for i, x in enumerate(query) if x])
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(F.size(v) == len(query), F.lit(1.0) - F.try_divide(dot, size * float(np.linalg.norm(np.asarray(query, dtype=np.float64)))))
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "embedding") -> DataFrame:
     """The k nearest by cosine distance, exact. Each task keeps its own k; only those are merged."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    d = F.round(cosine_distance(F.col(vector), q), 4)
+    d = F.round(cosine_distance(F.col(vector), query), 4)
     return vectors.withColumn("distance", d).where("distance is not null").orderBy("distance", key).limit(max(1, k))
 
 
@@ -86,7 +104,7 @@ def vector_neighbours(vectors: DataFrame, queries: DataFrame, k: int, key: str,
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best_d = np.full((len(ids), 0), 0.0)
-            best_i = np.full((len(ids), 0), None, dtype=object)
+            best_i = np.zeros((len(ids), 0), dtype=object if kind == "string" else np.int64)
             for b in batches:
                 b = b[b["v"].map(lambda v: v is not None and len(v) == m.shape[1])]
                 if not len(b):
@@ -96,9 +114,11 @@ def vector_neighbours(vectors: DataFrame, queries: DataFrame, k: int, key: str,
                 x, names = x[size > 0] / size[size > 0][:, None], b["i"].to_numpy()[size > 0]
                 d = np.round(1 - (m @ x.T) / np.where(norm == 0, np.nan, norm)[:, None], 4)
                 best_d = np.concatenate([best_d, d], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(names.astype(object), d.shape)], axis=1)
+                best_i = np.concatenate([best_i, np.broadcast_to(names, d.shape)], axis=1)
                 if best_d.shape[1] > k:
-                    order = np.array([sorted(range(best_d.shape[1]), key=lambda j: (best_d[r, j], best_i[r, j]))[:k] for r in range(len(ids))])
+                    # ids in order give ties their rank; a vector without length has no distance and comes last
+                    rank = np.unique(best_i.ravel(), return_inverse=True)[1].reshape(best_i.shape)
+                    order = np.lexsort((rank, np.where(np.isnan(best_d), np.inf, best_d)), axis=1)[:, :k]
                     best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
             rows_out = [(ids[r], best_i[r, j], float(best_d[r, j])) for r in range(len(ids)) for j in range(best_d.shape[1]) if not np.isnan(best_d[r, j])]
             yield pd.DataFrame(rows_out, columns=["query", "neighbour", "distance"])
@@ -145,23 +165,39 @@ def build_context(hits: DataFrame) -> DataFrame:
     return b.select(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("context"))
 
 
+class EmptyIndex(RuntimeError):
+    """Nothing is indexed."""
+
+
 class Retriever:
     """Search and answers over an indexed table of chunks with ``embedding``."""
 
     def __init__(self, index: DataFrame, embedder: Callable[[Sequence[str]], np.ndarray] = hashed_words, generator: Generator | None = None):
         self.index, self.embedder, self.generator = index, embedder, generator
 
-    def search(self, question: str, k: int = 5) -> DataFrame:
-        return vector_topk(self.index, self.embedder([question])[0].tolist(), clamp(k), "chunk_id")
+    def nearest(self, question: str, k: int = 5, where: Column | str | None = None) -> DataFrame:
+        """The same as a plan only: nothing runs, and an empty index gives no rows."""
+        some = self.index if where is None else self.index.where(where)
+        return vector_topk(some, self.embedder([question])[0].tolist(), clamp(k), "chunk_id")
 
-    def sources(self, question: str, k: int = 5) -> DataFrame:
-        return hits_to_sources(self.search(question, k))
+    def search(self, question: str, k: int = 5, where: Column | str | None = None) -> DataFrame:
+        """The k nearest chunks, of those that ``where`` lets through; it reaches the scan. An empty index is an error."""
+        if not self.index.select("chunk_id").take(1):
+            raise EmptyIndex("the index is empty")
+        return self.nearest(question, k, where)
 
-    def answer(self, question: str, k: int = 5) -> dict:
-        hits = self.search(question, k)
-        got = {"answer": None, "sources": [r.asDict() for r in hits_to_sources(hits).collect()], "warning": None}
-        if not got["sources"]:
-            return got | {"warning": "the index is empty"}
+    def sources(self, question: str, k: int = 5, where: Column | str | None = None) -> DataFrame:
+        return hits_to_sources(self.search(question, k, where))
+
+    def answer(self, question: str, k: int = 5, where: Column | str | None = None) -> dict:
+        """Answer, sources and a warning; the sources come even if no answer does."""
+        got: dict = {"answer": None, "sources": [], "warning": None}
+        try:
+            hits = self.search(question, k, where)
+        except EmptyIndex as e:
+            return got | {"warning": str(e)}
+        hits = hits.sparkSession.createDataFrame(hits.collect(), hits.schema)  # k rows, searched once
+        got["sources"] = [r.asDict() for r in hits_to_sources(hits).collect()]
         if self.generator is None:
             return got | {"warning": "no generator is configured"}
         try:

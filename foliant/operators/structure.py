@@ -16,16 +16,17 @@ MIN_WIDTH, MIN_HEIGHT, MIN_AREA, MIN_BYTES = 400, 400, 200_000, 10_000
 
 
 def equations(pages: DataFrame) -> DataFrame:
-    """Lines of at least five signs with a label, mathematics or a known symbol; the first of each (page, label or beginning)."""
-    w = Window.partitionBy("document_id", "page_num").orderBy("line_no").rowsBetween(-D.CONTEXT, D.CONTEXT)
-    rows = page_lines(pages).withColumn("s", T.strip(F.col("line"))).withColumn("near", F.collect_list(F.struct("line_no", "s")).over(w))
-    rows = rows.where(F.length("s") >= D.LINE_LEAST)
-    label = D.equation_label(F.col("s"))
-    rows = rows.withColumn("label", label).where(F.col("label").isNotNull() | D.math_density(F.col("s")) | D.math_word(F.col("s")))
-    around = F.filter("near", lambda x: (x["line_no"] != F.col("line_no")) & (x["s"] != "") & (x["s"] != F.col("s")))
-    context = F.substring(F.array_join(F.transform(around, lambda x: x["s"]), " | "), 1, 300)
-    first = Window.partitionBy("document_id", "page_num", F.coalesce("label", F.substring("s", 1, 40))).orderBy("line_no")
-    return rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("document_id", "page_num", "line_no", "label", F.col("s").alias("text"), context.alias("surrounding_text"))
+    """Lines of at least five signs with a label, mathematics or a known symbol; the first of each (page, label or beginning).
+
+    A line gets its neighbours within its page's row, and only such lines leave it.
+    """
+    first = lambda k: F.greatest(k - D.CONTEXT, F.lit(0))
+    around = lambda ls: lambda x, k: F.struct(k.alias("line_no"), T.strip(x).alias("s"), F.concat(F.slice(ls, first(k) + 1, k - first(k)), F.slice(ls, k + 2, D.CONTEXT)).alias("near"))
+    rows = pages.select("document_id", "page_num", T.lines(F.col("text")).alias("ls")).select("document_id", "page_num", F.explode(F.transform("ls", around(F.col("ls")))).alias("x")).select("document_id", "page_num", "x.*")
+    rows = rows.where(F.length("s") >= D.LINE_LEAST).withColumn("label", D.equation_label(F.col("s"))).where(F.col("label").isNotNull() | D.math_density(F.col("s")) | D.math_word(F.col("s")))
+    near = F.filter(F.transform("near", T.strip), lambda y: (y != "") & (y != F.col("s")))
+    least = Window.partitionBy("document_id", "page_num", F.coalesce("label", F.substring("s", 1, 40))).orderBy("line_no")
+    return rows.withColumn("rn", F.row_number().over(least)).where("rn = 1").select("document_id", "page_num", "line_no", "label", F.col("s").alias("text"), F.substring(F.array_join(near, " | "), 1, 300).alias("surrounding_text"))
 
 
 def keep_images(images: DataFrame) -> DataFrame:
@@ -123,11 +124,19 @@ def titles(spans: DataFrame) -> DataFrame:
     return g.select("document_id", F.when((F.length(t) >= 5) & ~t.rlike(r"^\d+$"), F.substring(t, 1, 400)).alias("title"))
 
 
-def academic(pages: DataFrame, titles_of: DataFrame | None = None, n_pages: int = 3) -> DataFrame:
-    """Bibliographic facts of each document from the text of its first pages."""
-    some = pages.where(F.col("page_num") <= n_pages)
-    text = some.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda x: x["text"]), "\n").alias("t"), F.min_by("text", "page_num").alias("page1"))
+def academic(docs: DataFrame, titles_of: DataFrame | None = None, n_pages: int = 3) -> DataFrame:
+    """Bibliographic facts of each document ``document_id, pages`` from the text of its first pages."""
+    text = docs.select("document_id", F.array_join(F.slice("pages", 1, n_pages), "\n").alias("t"), F.get("pages", F.lit(0)).alias("page1"))
     j = text.join(titles_of, "document_id", "left") if titles_of is not None else text.withColumn("title", F.lit(None).cast("string"))
     t = F.col("t")
     out = j.select("document_id", "title", D.front_authors(F.col("page1"), F.col("title")).alias("authors"), D.year(t).alias("year"), D.doi(t).alias("doi"), D.abstract(t).alias("abstract"), D.keywords(t).alias("keywords"), D.volume(t).alias("volume"), D.page_range(t).alias("pages"), F.lit(None).cast("string").alias("journal"))
     return out.withColumn("citation_key", D.citation_key(F.col("authors"), F.col("year"), F.col("title")))
+
+
+def paired_boxes(grids: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Grids ``document_id, page_num, cells`` of a page with the page's boxes ``bbox``, by their order; null where a page has fewer boxes.
+
+    Frames: ``document_id, page_num, grids array`` and ``document_id, page_num, boxes array``.
+    """
+    j = grids.join(boxes, ["document_id", "page_num"], "left").select("document_id", "page_num", F.posexplode("grids").alias("k", "cells"), "boxes")
+    return j.select("document_id", "page_num", (F.col("k") + 1).alias("table_no"), "cells", F.get("boxes", F.col("k")).alias("bbox"))

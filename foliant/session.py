@@ -11,9 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local default is set only where none is given (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where none is set, a temporary one in local mode only (tests); on a cluster that is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="foliant-ckpt-")
