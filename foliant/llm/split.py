@@ -43,8 +43,8 @@ PATTERNS = tuple(
 )
 
 
-def boundaries(text: str, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which the text may be cut, in order, and the kind of each (index into ``KINDS``)."""
+def boundaries(text: str, gap: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions after which the text may be cut, in order, and the kind of each (index into ``KINDS``); never more than ``most`` apart."""
     n = len(text)
     best: dict[int, int] = {}
     for kind, pattern in enumerate(PATTERNS):
@@ -62,6 +62,12 @@ def boundaries(text: str, gap: int) -> tuple[np.ndarray, np.ndarray]:
                 if q < p:
                     best.setdefault(q, 4)
         last = p
+    if most:  # a run of marks longer than a piece has to be cut within
+        last = 0
+        for p in sorted(best):
+            for q in range(last + most, p, most):
+                best.setdefault(q, 4)
+            last = p
     pos = np.array(sorted(best), dtype=np.int64)
     return pos, np.array([best[p] for p in pos.tolist()], dtype=np.int8)
 
@@ -116,7 +122,7 @@ def split_texts(texts: list[str], limit: int, overlap: int) -> list[list[tuple[i
     tables, offset = [], 0
     jumps = []
     for t in texts:
-        pos, kind = boundaries(t, max(STRIDE, (limit - overlap) // 4))
+        pos, kind = boundaries(t, max(STRIDE, (limit - overlap) // 4), limit - overlap)
         nxt, starts = successors(pos, kind, limit, overlap)
         tables.append((offset, np.concatenate([[0], pos]), np.concatenate([[0], kind]), starts))
         jumps.append(nxt + offset)
@@ -128,6 +134,8 @@ def split_texts(texts: list[str], limit: int, overlap: int) -> list[list[tuple[i
     out = []
     for base, ends, kinds, starts in tables:
         hit = np.flatnonzero(reached[base : base + len(ends)])
+        if hit[-1] != len(ends) - 1:
+            raise AssertionError("a text's end was not reached")
         out.append([(int(starts[a]), int(ends[b]), int(ends[a] - starts[a]), "end" if b == len(ends) - 1 else KINDS[kinds[b]]) for a, b in zip(hit[:-1], hit[1:])])
     return out
 
