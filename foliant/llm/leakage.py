@@ -2,56 +2,70 @@
 
 Method: winnowing. Texts become words (case, punctuation, numbering and look-alike characters ignored). Over the
 hashes of all runs of ``K`` words, the smallest of every ``W`` consecutive ones is kept, for items and documents
-alike; equal fingerprints are joined, and each hit is extended along its diagonal, however many there are. Any shared span of ``K + W - 1``
-words has a fingerprint in common. Twenty words in two places with two exchanged words always hold an unaltered run of
-five, so with K = 4 and W = 2 no case is missed.
+alike. The fingerprints ``(hash, document, position)`` and ``(hash, item, position)`` are joined, and every hit is extended
+along its diagonal. Any shared span of ``K + W - 1`` words has a fingerprint in common. Twenty words in two places with
+two exchanged words always hold an unaltered run of five, so with K = 4 and W = 2 no case is missed.
 
 A document is reported with an item if the matching places, at most two and in the item's order, hold ``MIN_WORDS`` of
-its words with at most ``1 - DENSITY`` of the words of a place exchanged.
+its words with at most ``1 - DENSITY`` of the words of a place exchanged. A place has ``MIN_PLACE`` words at least, as shorter
+ones are phrases that any text may hold; all places of a diagonal count.
 
-The items are a stated query set: they are taken in blocks of at most ``BLOCK`` items (their words are shipped with the
-tasks, a bounded size), and each block runs against all documents in one scan, without a shuffle of texts.
+Scale: one scan gives the documents' fingerprints, whatever the number of items. A Bloom filter of the items'
+fingerprints, ``BLOOM`` bits however many there are, leaves out nearly all others before the join; a filter that fills up
+costs shuffled rows, never a hit. The join's item side is small or met by key; a fingerprint with very many documents
+is split by adaptive execution. Only documents with a hit are read again, and only their own hits and items meet them.
 
 Null or empty texts have no words and give no rows. Repeated documents each give their rows; repeated item ids count
-once per text. Output: the id column, the item column, ``n_words int``, ``places int``. Other columns are left out.
+once per text. Output: the id columns, the item column, ``n_words int, places int``. Other columns are left out.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._arrow import id_schema, map_batches
 from foliant.llm.words import NUMBERING, Memo, plain, whole
 
-K, W, MIN_WORDS, DENSITY, MIN_PLACE, BLOCK = 4, 2, 20, 0.85, 7, 5000
+K, W, MIN_WORDS, DENSITY, MIN_PLACE, BLOOM, DIAGONALS = 4, 2, 20, 0.85, 7, 1 << 23, 4096
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
-NONE = -1
+END = 0  # stands behind every text, so that no run goes over its end
 
 
 def word(token: str) -> str:
     return "" if NUMBERING.match(token) else plain(token).replace("-", "")
 
 
-def tokens(text: str) -> list[str]:
-    return [p for w in whole(text) if (p := word(w))]
+def hashed(token: str) -> int | None:
+    w = word(token)
+    return xxhash.xxh64_intdigest(w) | 1 if w else None
+
+
+def word_hashes(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts in one array, END behind each text, and where the texts begin."""
+    flat: list[int] = []
+    starts = [0]
+    for t in texts:
+        if t:
+            flat += [x for x in map(memo.__getitem__, whole(t)) if x is not None]
+        flat.append(END)
+        starts.append(len(flat))
+    return np.array(flat, dtype=np.uint64), np.array(starts)
 
 
-def kgram_hashes(ids: np.ndarray) -> np.ndarray:
-    """The hash of each run of K word numbers; 0 where a word is unknown."""
-    n = len(ids) - K + 1
+def kgram_hashes(u: np.ndarray) -> np.ndarray:
+    """The hash of each run of K words; 0 where END is among them."""
+    n = len(u) - K + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    u = (ids + 2).astype(np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     known = np.ones(n, dtype=bool)
     for j in range(K):
         h ^= (u[j : j + n] * MULT[j]) ^ ((u[j : j + n] * MULT[(j + 1) % 4]) >> np.uint64(29))
-        known &= ids[j : j + n] >= 0
+        known &= u[j : j + n] != END
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
@@ -70,41 +84,6 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return picks[h[picks] != 0]
 
 
-class Index:
-    """Fingerprints and words of a block of items."""
-
-    def __init__(self, items: list[tuple[object, str]]):
-        self.keys = [k for k, _ in items]
-        words = [tokens(t) for _, t in items]
-        self.vocab: dict[str, int] = {}
-        rows = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in ws], dtype=np.int64) for ws in words]
-        self.length = np.array([len(r) for r in rows], dtype=np.int64)
-        self.width = max([K, *map(len, rows)])
-        self.matrix = np.full((len(rows), self.width), -3, dtype=np.int64)
-        hs, its, ats = [], [], []
-        for i, r in enumerate(rows):
-            self.matrix[i, : len(r)] = r
-            h = kgram_hashes(r)
-            # every run of the item is kept on this side, so a span cut out of context still meets its fingerprint
-            hs.append(h)
-            its.append(np.full(len(h), i))
-            ats.append(np.arange(len(h)))
-        h = np.concatenate(hs) if hs else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.item, self.at = h[order], np.concatenate(its)[order] if its else h, np.concatenate(ats)[order] if ats else h
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(self.h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document position, item, position in the item, of each equal fingerprint."""
-        maybe = self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        h, at = h[maybe], at[maybe]
-        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-        many = hi - lo
-        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.zeros(0, dtype=np.int64)
-        return np.repeat(at, many), self.item[flat], self.at[flat]
-
-
 def best_span(match: np.ndarray) -> tuple[int, int, int]:
     """The longest span that begins and ends in a match and holds at least DENSITY matches: start, end, matches."""
     s = np.concatenate([[0], np.cumsum(match - DENSITY)])
@@ -121,96 +100,150 @@ def best_span(match: np.ndarray) -> tuple[int, int, int]:
 def best_places(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
     """The most words in at most two places in the item's order, and the number of places. Spans: start, end, words, diagonal.
 
-    Shifted spans that follow one another within three words are one place."""
+    Shifted spans that follow one another within three words are one place. Words that both places hold count once."""
     if not spans:
         return 0, 0
-    a, b, n, d = np.array(sorted(spans), dtype=np.int64).T
-    gap = (a + d)[None, :] - (b + d)[:, None] + 1
-    after = (a[None, :] >= b[:, None] - 1) & (gap >= 0) & (gap <= 4)  # row: a span, column: one that goes on with it
+    a, b, n, d = np.array(sorted(set(spans)), dtype=np.int64).T
     ending, beginning = n.copy(), n.copy()  # words of the best place that ends, or begins, with each span
+
+    def joined(i, j):  # whether the place goes on from span i to span j
+        gap = (a[j] + d[j]) - (b[i] + d[i]) + 1
+        return (a[j] >= b[i] - 1) & (gap >= 0) & (gap <= 4)
+
     for k in range(len(n)):
-        if len(before := np.flatnonzero(after[:k, k])):
-            ending[k] += ending[before].max()
+        ending[k] += ending[:k].max(initial=0, where=joined(np.arange(k), k))
     for k in reversed(range(len(n))):
-        if len(later := k + 1 + np.flatnonzero(after[k, k + 1 :])):
-            beginning[k] += beginning[later].max()
+        later = np.arange(k + 1, len(n))
+        beginning[k] += beginning[later].max(initial=0, where=joined(k, later))
     one = int(ending.max())
-    rest = np.maximum.accumulate(beginning[::-1])[::-1]  # spans are in the order of their starts
-    first = np.searchsorted(a, b, "left")
-    some = first < len(a)
-    two = int((ending[some] + rest[first[some]]).max()) if some.any() else 0
+    # two places: of the many spans at the same words of the item only the best count
+    ab, at = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+    at = at.ravel()
+    best_e, best_b = np.zeros(len(ab), dtype=np.int64), np.zeros(len(ab), dtype=np.int64)
+    np.maximum.at(best_e, at, ending)
+    np.maximum.at(best_b, at, beginning)
+    u, v = ab.T
+    two = 0
+    for i in range(len(ab)):
+        behind = (u >= u[i]) & (v > v[i])
+        two = max(two, int((best_e[i] + best_b - np.maximum(0, v[i] - u)).max(initial=0, where=behind)))
     return (two, 2) if two > one else (one, 1)
 
 
-def extend(index: Index, doc: np.ndarray, p: np.ndarray, i: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, words, places) of the items found in one document."""
-    diag = p - q
-    pairs = np.unique(np.stack([i, diag], axis=1), axis=0)
-    cols = pairs[:, 1][:, None] + np.arange(index.width)[None, :]
-    inside = (cols >= 0) & (cols < len(doc))
-    match = inside & (doc[np.clip(cols, 0, len(doc) - 1)] == index.matrix[pairs[:, 0]])
-    total = match.sum(axis=1)
-    found = []
-    strong = total >= K + W - 1
-    for item in np.unique(pairs[strong, 0]):
-        mine = np.flatnonzero((pairs[:, 0] == item) & strong)
-        if int(total[mine].sum()) < MIN_WORDS:
-            continue
-        spans = []
-        for m in mine[total[mine] >= MIN_PLACE]:
-            a, b, n = best_span(match[m].astype(np.float64))
-            if n >= MIN_PLACE:
-                spans.append((a, b, n, int(pairs[m, 1])))
-        best, places = best_places(spans)
-        if best >= MIN_WORDS:
-            found.append((int(item), best, places))
-    return found
+def spans_of(match: np.ndarray, base: int = 0) -> list[tuple[int, int, int]]:
+    """All dense spans of a diagonal, none in another, of MIN_PLACE matches at least: start, end, matches."""
+    if match.sum() < MIN_PLACE:
+        return []
+    a, b, n = best_span(match)
+    return [] if n < MIN_PLACE else [*spans_of(match[:a], base), (base + a, base + b, n), *spans_of(match[b:], base + b)]
 
 
-def leaked(df: DataFrame, ids: list[str], text: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:
-    """One row per document row and item found in it."""
-    wanted = items.select(F.col(item_col).alias("k"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    rows = [(r.k, r.t) for r in wanted.orderBy("k", "t").toLocalIterator()]
-    kind = dict(items.dtypes)[item_col]
-    blocks = [rows[x : x + BLOCK] for x in range(0, len(rows), BLOCK)] or [[]]
-    parts = [_leaked(df, ids, text, block, item_col, kind) for block in blocks]
-    return reduce(DataFrame.unionByName, parts)
+def extend(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[int, int]:
+    """The words and places of an item found in a document, from hits at the document's ``p`` and the item's ``q``."""
+    spans = []
+    diagonals = np.unique(p - q)
+    for k in range(0, len(diagonals), DIAGONALS):
+        d = diagonals[k : k + DIAGONALS]
+        cols = d[:, None] + np.arange(len(item))[None, :]
+        match = (cols >= 0) & (cols < len(doc)) & (doc[np.clip(cols, 0, len(doc) - 1)] == item[None, :])
+        for m in np.flatnonzero(match.sum(axis=1) >= MIN_PLACE):
+            spans += [(a, b, n, int(d[m])) for a, b, n in spans_of(match[m].astype(np.float64))]
+    return best_places(spans) if sum(x[2] for x in spans) >= MIN_WORDS else (0, 0)
+
+
+def item_rows(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item column, words array<bigint>, hs array<bigint>, at array<int>): words and fingerprints of each item's text."""
+
+    def make():
+        memo = Memo(hashed)
+
+        def work(b: pa.RecordBatch) -> dict:
+            words, hs, at = [], [], []
+            for t in b.column(1).to_pylist():
+                u, _ = word_hashes([t], memo)
+                h = kgram_hashes(u)
+                w = winnow(h)
+                words.append(u[:-1].view(np.int64))
+                hs.append(h[w].view(np.int64))
+                at.append(w.astype(np.int32))
+            return {item_col: b.column(0), "words": pa.array(words, pa.list_(pa.int64())), "hs": pa.array(hs, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))}
+
+        return work
 
+    wanted = items.where(F.col(item_text).isNotNull()).select(item_col, item_text).distinct()
+    return map_batches(wanted, make, f"{id_schema(items, [item_col])}, words array<bigint>, hs array<bigint>, at array<int>")
 
-def _leaked(df: DataFrame, ids: list[str], text: str, block: list[tuple[object, str]], item_col: str, kind: str) -> DataFrame:
+
+def bloom(rows: DataFrame) -> np.ndarray:
+    """The filter: each task sends its own bits, and these are of fixed size."""
+
+    def run(batches):
+        bits = np.zeros(BLOOM, dtype=bool)
+        for b in batches:
+            h = np.asarray(b.column(0).flatten()).view(np.uint64)
+            bits[(h % np.uint64(BLOOM)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    parts = rows.select("hs").coalesce(8).mapInArrow(run, "bits binary").collect()
+    return np.bitwise_or.reduce([np.frombuffer(r.bits, dtype=np.uint8) for r in parts]) if parts else np.zeros(BLOOM // 8, dtype=np.uint8)
+
+
+def fingerprints(df: DataFrame, ids: list[str], text: str, bits: np.ndarray) -> DataFrame:
+    """(ids, th, h, p): the documents' fingerprints that the filter lets through. ``th``: the text's hash."""
     n = len(ids)
+    sent = df.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def make():
-        index = Index(block)
-        vocab = index.vocab
-        memo = Memo(lambda w: vocab.get(p, NONE) if (p := word(w)) else None)
+        memo = Memo(hashed)
+        some = np.unpackbits(np.frombuffer(sent.value, dtype=np.uint8)).astype(bool)
 
         def work(b: pa.RecordBatch) -> dict:
-            docs, ends, row = [], [0], []
-            for t in b.column(n).to_pylist():
-                got = [x for x in map(memo.__getitem__, whole(t)) if x is not None] if t else []
-                got.append(NONE)  # no run goes over the end
-                docs += got
-                ends.append(len(docs))
-            flat = np.array(docs, dtype=np.int64)
-            h = kgram_hashes(flat)
+            u, starts = word_hashes(b.column(n + 1).to_pylist(), memo)
+            h = kgram_hashes(u)
             at = winnow(h)
-            p, i, q = index.hits(h[at], at)
-            out: list[tuple[int, int, int, int]] = []
-            doc = np.searchsorted(np.array(ends), p, "right") - 1
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
-            for a, z in zip(cut[:-1], cut[1:]):
-                if z - a < 2:
-                    continue
-                k = int(doc[a])
-                out += [(k, *x) for x in extend(index, flat[ends[k] : ends[k + 1]], p[a:z] - ends[k], i[a:z], q[a:z])]
-            row = pa.array([x[0] for x in out], pa.int64())
-            got = {c: b.column(j).take(row) for j, c in enumerate(ids)}
-            keys = pa.array([index.keys[x[1]] for x in out])
-            if kind in ("bigint", "int", "string"):
-                keys = pa.array([index.keys[x[1]] for x in out], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
-            return got | {item_col: keys, "n_words": pa.array([x[2] for x in out], pa.int32()), "places": pa.array([x[3] for x in out], pa.int32())}
+            at = at[some[(h[at] % np.uint64(BLOOM)).astype(np.int64)]]
+            row = np.searchsorted(starts, at, "right") - 1
+            take = pa.array(row, pa.int64())
+            return {c: b.column(k).take(take) for k, c in enumerate([*ids, "th"])} | {"h": pa.array(h[at].view(np.int64)), "p": pa.array((at - starts[row]).astype(np.int32))}
+
+        return work
+
+    return map_batches(df.select(*ids, F.xxhash64(text).alias("th"), F.col(text).alias("__t")), make, f"{id_schema(df, ids)}, th bigint, h bigint, p int")
+
+
+def leaked(df: DataFrame, ids: list[str], text: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """One row per document row and item found in it."""
+    n, names = len(ids), [f"__i{k}" for k in range(len(ids))]
+    base = df.where(F.col(text).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(ids, names)], F.col(text).alias("__t"))
+    rows = item_rows(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")), "item", "t").withColumn("no", F.xxhash64("item", "words"))
+    prints = rows.select("no", F.explode(F.arrays_zip("hs", "at")).alias("x")).select("no", F.col("x.hs").alias("h"), F.col("x.at").alias("q"))
+    hits = fingerprints(base, names, "__t", bloom(rows)).join(prints, "h").groupBy(*names, "th", "no").agg(F.collect_set(F.struct("p", "q")).alias("at"))
+    per = hits.join(rows.select("no", "item", "words"), "no").groupBy(*names, "th").agg(F.collect_list(F.struct("item", "words", "at")).alias("hits"))
+    keys = [F.xxhash64("__t") == F.col("th"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]]
+    met = base.alias("a").join(per.alias("b"), keys).select(*[F.col(f"a.{c}").alias(k) for c, k in zip(names, ids)], F.col("a.__t").alias("__t"), F.col("b.hits").alias("hits"))
+    kind = dict(items.dtypes)[item_col]
+
+    def make():
+        memo = Memo(hashed)
+
+        def work(b: pa.RecordBatch) -> dict:
+            out, found = [], []
+            lists = b.column(n + 1)
+            for i, t in enumerate(b.column(n).to_pylist()):
+                doc, _ = word_hashes([t], memo)
+                doc = doc[:-1].view(np.int64)
+                mine = lists[i].values  # structs: item, words, hits
+                for k in range(len(mine)):
+                    words, at = np.asarray(mine.field("words")[k].values), mine.field("at")[k].values
+                    many, places = extend(doc, words, np.asarray(at.field("p"), dtype=np.int64), np.asarray(at.field("q"), dtype=np.int64))
+                    if many >= MIN_WORDS:
+                        out.append((i, many, places))
+                        found.append(mine.field("item")[k].as_py())
+            take = pa.array([x[0] for x in out], pa.int64())
+            got = {c: b.column(j).take(take) for j, c in enumerate(ids)}
+            item_type = lists.type.value_type.field("item").type
+            return got | {item_col: pa.array(found, item_type), "n_words": pa.array([x[1] for x in out], pa.int32()), "places": pa.array([x[2] for x in out], pa.int32())}
 
         return work
 
-    return map_batches(df.select(*ids, F.col(text).alias("__t")), make, f"{id_schema(df, ids)}, `{item_col}` {kind}, n_words int, places int")
+    return map_batches(met, make, f"{id_schema(df, ids)}, `{item_col}` {kind}, n_words int, places int")

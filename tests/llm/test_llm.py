@@ -147,6 +147,11 @@ def test_pieces_of_any_text(parts, sizes):
         check_pieces(text, split.split_texts([text], limit, overlap)[0], limit, overlap)
 
 
+def test_runs_of_marks_lose_nothing():
+    for text in ("a" + chr(0x301) * 5600, chr(0x301) * 9000, "x " * 300 + chr(0x200D) * 4000 + " y" * 300):
+        check_pieces(text, split.split_texts([text], 500, 100)[0], 500, 100)
+
+
 def test_doubling_equals_following_the_chain():
     for text in (LONG, "ab " * 5000, "x" * 20000, "One. " * 3000):
         pos, kind = split.boundaries(text, 700)
@@ -451,24 +456,36 @@ def test_best_places_equal_brute_force(seed):
         chains += [[*c, y] for y in sorted(spans) if y > c[-1] and y[0] >= c[-1][1] - 1 and 0 <= y[0] + y[3] - c[-1][1] - c[-1][3] + 1 <= 4]
     size = [sum(x[2] for x in c) for c in chains]
     one = max(size)
-    two = max((m + n for c, m in zip(chains, size) for e, n in zip(chains, size) if e[0][0] >= c[-1][1]), default=0)
+    two = max((m + n - max(0, c[-1][1] - e[0][0]) for c, m in zip(chains, size) for e, n in zip(chains, size) if e[0][0] >= c[-1][0] and e[0][1] > c[-1][1]), default=0)
     assert leakage.best_places(spans) == ((two, 2) if two > one else (one, 1))
 
 
 def test_winnowing_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(200):
-        span = rng.integers(0, 50, leakage.K + leakage.W - 1)
-        a, b = (np.concatenate([rng.integers(100, 200, 7), span, rng.integers(100, 200, 6)]) for _ in range(2))
+        span = rng.integers(1, 50, leakage.K + leakage.W - 1).astype(np.uint64)
+        a, b = (np.concatenate([rng.integers(100, 200, 7).astype(np.uint64), span, rng.integers(100, 200, 6).astype(np.uint64)]) for _ in range(2))
         ha, hb = leakage.kgram_hashes(a), leakage.kgram_hashes(b)
         assert set(ha[leakage.winnow(ha)].tolist()) & set(hb[leakage.winnow(hb)].tolist())
 
 
-def test_blocks_of_items_add_up(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK", 3)
+def test_every_diagonal_and_place_counts(spark):
+    rng = random.Random(5)
+    w = an_item(rng, 24).split()
+    doc = " . ".join([" ".join(w[:14])] * 70) + " filler words between them " + " ".join(w[12:])
+    same = an_item(rng, 52).split()
+    swapped = [*same[:12], *(f"no{k}" for k in range(28)), *same[40:]]  # two places on one diagonal
+    df = spark.createDataFrame([(1, doc), (2, " ".join(swapped)), (None, doc)], "doc_id bigint, text string")
+    it = spark.createDataFrame([("a", " ".join(w)), ("b", " ".join(same)), ("a", "another text of this item that stands nowhere")], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_words"], r["places"]) for r in rows(leakage.leaked(df, ["doc_id"], "text", it, "item_id", "text"))}
+    assert got == {(1, "a", 24, 2), (None, "a", 24, 2), (2, "b", 24, 2)}
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOOM", 64)
     rng = random.Random(9)
     items = [(i, an_item(rng)) for i in range(8)]
-    df = spark.createDataFrame([(i, t) for i, t in items], "doc_id bigint, text string")
+    df = spark.createDataFrame(items, "doc_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in rows(leakage.leaked(df, ["doc_id"], "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text"))}
     assert got == {(i, i) for i in range(8)}
 
