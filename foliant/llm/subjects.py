@@ -1,11 +1,16 @@
 """Problem 10: the subject areas of each document.
 
-Method: subject-specific interpolated n-gram language models. For every subject a model mixes its bigram estimate, its
-unigram estimate and the background estimate; a sentence is scored by the difference of its per-token
-cross-entropies under the background and under the subject, and counts for the best subject if the gain passes a
-threshold calibrated on the labelled documents. A document gets each subject (two at most, unless ``max_subjects`` says
-otherwise) to which at least ``SHARE`` of its scored sentences belong; a single sentence counts only where no other
-subject has more.
+Method: subject-specific interpolated n-gram language models. For every subject the probability of a word behind another
+is a mixture of its bigram estimate, its unigram estimate and the background's probability,
+
+    p(w | v, s) = l2 * c(v w, s) / c(v, s) + (1 - l2) * (l1 * c(w, s) / c(s) + (1 - l1) * p(w))
+
+with weights l1, l2 that grow with what the background expects of the word or pair, and are 0 where chance explains the
+difference. (The mixtures are not brought to a sum of 1: that adds one constant to all tokens under a subject, and measured
+worse.) A sentence's score under a subject is the difference of its per-token cross-entropies under the background and
+under the subject, and it counts for the best subject if that gain passes a threshold. The threshold is calibrated on the labelled documents: the lowest at which, of the sentences
+with gains up to ``WIDTH`` above it (``NEAR`` of them at least), a share of ``AGREE`` shows a subject of their document's labels. A document gets each subject (two at most, unless ``max_subjects`` says otherwise) to which at least ``SHARE`` of its
+scored sentences belong; a single sentence counts only where no other subject has more.
 
 Training reads at most ``MAX_LABELLED`` labelled rows (a bounded sample by a hash of the id where there are more); labels
 are of documents, so the models are refined ``ROUNDS`` times by leaving out those sentences of a labelled document that
@@ -33,21 +38,27 @@ from foliant.llm.words import NO, Corpus, Memo, flags, whole
 MAX_LABELLED, ROUNDS, SHARE, MIN_DOCS, MIN_TOKENS, DESCRIPTION = 6000, 4, 1 / 6, 3, 4, 3
 WEIGHT, PAIR_WEIGHT, SURE = 2.0, 6.0, 2.5
 PRIOR, SMOOTH = 2.0, 0.5
+WIDTH, NEAR, AGREE = 0.05, 20, 0.6
 
 
 class Models:
-    """Score tables: a row for each word and each known pair of words, a column for each subject."""
+    """log p(w | v, s) - log p(w | v): a row for each word and each known pair of words, a column for each subject."""
 
     def __init__(self, subjects: list[str], vocab: dict[str, int]):
         self.subjects, self.vocab, self.size = subjects, vocab, len(vocab) + 1
         self.threshold = 0.0
 
+    @staticmethod
+    def mixed(got: np.ndarray, due: np.ndarray, shorter: np.ndarray, weight: float) -> np.ndarray:
+        """p(w | s) / p(w), the estimate got / due mixed with the shorter model's. ``due``: what that model expects of a subject's texts."""
+        expected = due * shorter
+        share = np.where(np.abs(got - expected) < SURE * np.sqrt(expected + 0.25), 0.0, due / (due + weight))
+        return share * got / np.maximum(due, 1e-9) + (1 - share) * shorter + np.where((due <= 0) & (got > 0), got / weight, 0.0)
+
     def fit(self, c: Corpus, owner: np.ndarray, lang: np.ndarray) -> None:
         """owner: the subject of each sentence, -1 for none; lang: its language.
 
-        Each estimate is interpolated with the shorter model, down to the background, by the weight of what the
-        background expects: a rare word or pair says little, a frequent one much. The background is that of the
-        language, so a subject with few texts in a language isn't taken for a stranger to its words.
+        The background is that of the language, so a subject with few texts in a language isn't taken for a stranger to its words.
         """
         n, v, m = len(self.subjects), self.size, int(lang.max(initial=0)) + 1
         own, tongue = owner[c.sentence], lang[c.sentence]
@@ -63,23 +74,19 @@ class Models:
             return got, total @ share
 
         got, due = counts(c.word, v, known)
-        ratio = (got + WEIGHT) / (due + WEIGHT)
-        ratio[NO] = 1.0
-        ratio[np.abs(got - due) < SURE * np.sqrt(due + 0.25)] = 1.0  # what chance explains says nothing
-        self.one = np.log(ratio).astype(np.float32)
+        one = self.mixed(got, due, np.ones_like(got), WEIGHT)
+        one[NO] = 1.0
+        self.one = np.log(one).astype(np.float32)
         both = known & (c.prev != NO) & (c.word != NO)
         self.pairs, at = np.unique((c.prev * v + c.word)[both], return_inverse=True)
         key = np.zeros(len(c.word), dtype=np.int64)
         key[both] = at
         got, due = counts(key, max(1, len(self.pairs)), both)
-        first, second = self.pairs // v, self.pairs % v
-        got, due = got[: len(self.pairs)], due[: len(self.pairs)]
-        due = due * ratio[first]
-        two = (got + PAIR_WEIGHT * ratio[second]) / (due + PAIR_WEIGHT)
-        self.two = np.log(np.where(np.abs(got - due * ratio[second]) < SURE * np.sqrt(due * ratio[second] + 0.25), ratio[second], two)).astype(np.float32)
+        got, due = got[: len(self.pairs)], due[: len(self.pairs)] * one[self.pairs // v]
+        self.two = np.log(self.mixed(got, due, one[self.pairs % v], PAIR_WEIGHT)).astype(np.float32)
 
     def gains(self, c: Corpus) -> np.ndarray:
-        """Summed gain over the background of each sentence under each subject."""
+        """Summed gain over the background of each sentence under each subject; per token it is the difference of the cross-entropies."""
         if not len(c.word):
             return np.zeros((0, len(self.subjects)))
         row = self.one[c.word]
@@ -90,6 +97,10 @@ class Models:
             row[hit] = self.two[at[hit]]
         return np.add.reduceat(row, c.first, axis=0)
 
+    def entropy_gains(self, c: Corpus) -> np.ndarray:
+        """Per-token cross-entropy under the background less that under each subject."""
+        return self.gains(c) / np.maximum(c.size, 1)[:, None]
+
 
 def train(rows: list[tuple[str, list[str]]], subjects: list[str]) -> Models | None:
     """rows: text and labels of each labelled document."""
@@ -122,20 +133,25 @@ def train(rows: list[tuple[str, list[str]]], subjects: list[str]) -> Models | No
         gain = allowed[np.arange(len(g)), best]
         owner = np.where((gain > 0) & (gain >= g.max(axis=1) - PRIOR), best, -1)
     models.fit(c, owner, lang)
-    models.threshold = calibrate(models.gains(c), prior[c.text])
+    models.threshold = calibrate(models.entropy_gains(c), prior[c.text])
     return models
 
 
 def calibrate(gains: np.ndarray, prior: np.ndarray) -> float:
-    """The lowest gain, in steps, at which six in ten of the sentences just above it agree with their document's label, or fewer than 20 are there."""
+    """The lowest gain at which AGREE of the sentences up to WIDTH above it, and of NEAR at least, show a subject of their document's labels."""
     best = gains.argmax(axis=1)
     gain = gains[np.arange(len(gains)), best]
     agrees = prior[np.arange(len(gains)), best] > 0
-    for t in np.arange(0.5, 4.1, 0.25):
-        near = (gain >= t) & (gain < t + 0.75)
-        if near.sum() < 20 or agrees[near].mean() >= 0.6:
-            return float(t)
-    return 4.0
+    agrees, gain = agrees[gain > 0], gain[gain > 0]
+    if not len(gain):
+        return 0.0
+    order = np.argsort(gain, kind="stable")
+    agrees, gain = agrees[order], gain[order]
+    sums = np.concatenate([[0], np.cumsum(agrees)])
+    at = np.arange(len(gain))
+    upto = np.minimum(np.maximum(np.searchsorted(gain, gain + WIDTH, "left"), at + NEAR), len(gain))
+    good = np.flatnonzero(sums[upto] - sums[at] >= AGREE * (upto - at))
+    return float(gain[good[0]]) if len(good) else float(gain[-1]) + 1.0
 
 
 def decide(gains: np.ndarray, c: Corpus, n_texts: int, threshold: float, most: int) -> list[tuple[int, int, int, float]]:
@@ -192,7 +208,7 @@ def classify(df: DataFrame, ids: list[str], text: str, models: Models | None, ma
             for a in range(0, len(texts), 500):
                 part = texts[a : a + 500]
                 c = Corpus(part, memo)
-                out += [(a + i, s, k, x) for i, s, k, x in decide(models.gains(c), c, len(part), models.threshold, max_subjects)]
+                out += [(a + i, s, k, x) for i, s, k, x in decide(models.entropy_gains(c), c, len(part), models.threshold, max_subjects)]
             row = pa.array([x[0] for x in out], pa.int64())
             got = {c: b.column(j).take(row) for j, c in enumerate(ids)}
             return got | {"subject": pa.array([models.subjects[x[1]] for x in out], pa.string()), "sentences": pa.array([x[2] for x in out], pa.int32()), "share": pa.array([x[3] for x in out], pa.float64())}
