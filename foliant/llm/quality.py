@@ -4,10 +4,12 @@
 common_share n_common n_lines punct_line_share bullet_line_share table_line_share dots_line_share unique_word_share``, ``failures``
 (one reason per rule that failed, in a fixed order) and ``kind``.
 
-The character counts are taken over one code-point array per Arrow batch (class table, ``np.add.reduceat``). The
-thresholds are the published rules for web corpora (mean word length 3 to 10, symbols at most 0.1 a word, bullets at
-most 0.9 of the lines, ellipsis lines at most 0.3, at least 0.8 of the words with a letter, at least two common words,
-duplicate words) and apply to whole texts.
+Everything is counted over whole Arrow batches: characters by a class table and ``np.add.reduceat``, words and lines by
+Arrow's string kernels, and the rules are comparisons of columns; no loop runs over rows, lines or words. The thresholds
+follow the published rules for web corpora (mean word length 3 to 10, bullets at most 0.9 of the lines, ellipsis lines at
+most 0.3, at least 0.8 of the words with a letter, at least two common words, repeated words; other signs at most 0.1 of the
+characters) and apply to whole texts. ``RULES`` names each with the kind that it decides; a text's kind is that of the
+first rule it fails that decides one, else 'prose'. A line is of one sort only: a leader line ('.... 7') is a list entry.
 
 Null or empty text: all counts 0, ``failures`` is ['empty'], ``kind`` 'junk' for empty text and null for null text.
 Very long texts are read whole. Repeated rows give repeated rows. Other input columns are left out.
@@ -15,10 +17,9 @@ Very long texts are read whole. Repeated rows give repeated rows. Other input co
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,20 @@ MAX_SYMBOLS, MIN_LEN, MAX_LEN, MAX_BULLETS, MAX_DOTS, MIN_ALPHA, MIN_COMMON, MIN
 MIN_TABLE, MIN_UNIQUE, MIN_PUNCT = 0.75, 0.12, 0.1
 
 LONG_LINE, MAX_CELL, MEAN_CELL = 200, 45, 22
-MARK = re.compile(r"\s*(?:[-+*>•◦▪–·]|o(?=\s)|\(?\d{1,3}[.)](?=\s)|\[\d{1,4}\]|\(?[a-z][.)](?=\s))\s*\S")
-LEADER = re.compile(r"(?:\.{4,}|(?:\. ){4,}|…)\s*\d+\s*$")
-SYMBOL_ENTRY = re.compile(r"\s*\S{1,3}(?:[ _]\S{1,3})?\s*[:=]\s+\S")
-NUMBERS = re.compile(r"[\s\d.,;:%+|-]+$")
-CELL = re.compile(r"\||\t| {2,}|;")
-HEX = re.compile(r"[0-9a-fA-F]{4,8}:?(?: [0-9a-fA-F]{2})+")
+# Patterns of a trimmed line
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
+MARK = r"^(?:(?:[-+*>•◦▪–·]|\[\d{1,4}\])\s*\S|(?:o|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S)"
+LEADER = r"(?:\.{4,}|(?:\. ){4,}|…)\s*\d+$"
+SYMBOL_ENTRY = r"^\S{1,3}(?:[ _]\S{1,3})?\s*[:=]\s+\S"
+NUMBERS = r"^[\s\d.,;:%+|-]*\d$"
+CELL = r"\||\t| {2,}|;"
+HEX = r"^[0-9a-fA-F]{4,8}:?(?: [0-9a-fA-F]{2})+"
+STOP = r"[.!?:…]$|[.!?:…][\"'»”)\]]$"
+# name, kind decided
+RULES = (
+    ("byte_dump", "junk"), ("long_words", "junk"), ("cell_lines", "table"), ("bullet_lines", "list"), ("cell_and_bullet_lines", "table"), ("common_words", "junk"), ("repeated_words", "junk"), ("single_letters", "junk"),
+    ("mean_word_length", None), ("symbols", None), ("ellipsis_lines", None), ("alphabetic_words", None), ("punctuated_lines", None),
+)
 
 STATS = "n_chars bigint, n_words bigint, mean_word_len double, symbol_ratio double, digit_ratio double, alpha_word_share double, common_share double, n_common bigint, n_lines bigint, punct_line_share double, bullet_line_share double, table_line_share double, dots_line_share double, unique_word_share double, failures array<string>, kind string"
 
@@ -61,110 +70,128 @@ def char_counts(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple((c := np.concatenate([[0], np.cumsum(kinds == k)]))[ends[1:]] - c[ends[:-1]] for k in (1, 2, 0))
 
 
-def is_row(x: str) -> bool:
-    """A line of cells: two or more short fields."""
-    if x[-1].isdigit() and NUMBERS.match(x):
-        return True
-    if "|" not in x and "\t" not in x and "  " not in x and ";" not in x:
-        return False
-    fields = [f for f in (y.strip() for y in CELL.split(x)) if f]
-    if len(fields) < 2:
-        return "|" in x
-    sizes = [len(f) for f in fields]
-    if max(sizes) > MAX_CELL or sum(sizes) > MEAN_CELL * len(fields):
-        return False
-    return "|" in x or "\t" in x or "  " in x and x[-1] not in ";,." or ";" in x and sum(" " not in f for f in fields) > 0.8 * len(fields)
-
-
-def line_shares(lines: list[str]) -> tuple[float, float, float, float, float]:
-    """Shares of the lines that end in punctuation, are list entries, are rows of cells, end in dots, are dumps of bytes."""
-    punct = bullets = table = dots = dump = 0
-    for x in lines:
-        x = x.strip()
-        last = x[-1]
-        if last in ".!?:…" or last in "\"'»”)]" and len(x) > 1 and x[-2] in ".!?:…":
-            punct += 1
-        if len(x) > LONG_LINE:
-            continue
-        if HEX.match(x) and x.count(" ") >= 4:
-            dump += 1
-        elif ("...." in x or ". . ." in x or "…" in x) and LEADER.search(x):
-            bullets += 1
-            dots += 1
-        elif is_row(x):
-            table += 1
-        elif MARK.match(x) or last in ";," and len(x) <= 82 or SYMBOL_ENTRY.match(x):
-            bullets += 1
-    n = max(1, len(lines))
-    return punct / n, bullets / n, table / n, dots / n, dump / n
-
-
-def judge(words: list[str], mean: float, symbols: float, digits: float, alpha: float, common: float, n_common: int, shares: tuple, unique: float, longest: int) -> tuple[list[str], str]:
-    """The rules that fail, and the kind they add up to."""
-    punct, bullets, table, dots, dump = shares
-    singles = sum(len(w) == 1 for w in words) / max(1, len(words))
-    rules = (
-        ("mean_word_length", not MIN_LEN <= mean <= MAX_LEN),
-        ("symbols", symbols > MAX_SYMBOLS),
-        ("bullet_lines", bullets >= MAX_BULLETS),
-        ("ellipsis_lines", dots > MAX_DOTS),
-        ("alphabetic_words", alpha < MIN_ALPHA),
-        ("common_words", n_common < MIN_COMMON or common < MIN_SHARE),
-        ("cell_lines", table >= MIN_TABLE),
-        ("byte_dump", dump >= 0.5),
-        ("repeated_words", len(words) >= 20 and unique < MIN_UNIQUE and common < 0.15),
-        ("single_letters", singles > 0.6),
-        ("long_words", longest > 60 and longest > 0.2 * max(1, sum(map(len, words)))),
-        ("punctuated_lines", punct < MIN_PUNCT),
+def flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All entries, and the number of the row that each is of."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+
+
+def yes(mask: pa.Array) -> np.ndarray:
+    return np.asarray(mask.to_numpy(zero_copy_only=False), dtype=bool)
+
+
+def has(x: pa.Array, pattern: str) -> np.ndarray:
+    return yes(pc.match_substring_regex(x, pattern))
+
+
+def cell_rows(x: pa.Array) -> np.ndarray:
+    """Lines of cells: two or more short fields, or numbers only."""
+    bar, tab, gap, semi = (yes(pc.match_substring(x, t)) for t in ("|", "\t", "  ", ";"))
+    some = np.flatnonzero(bar | tab | gap | semi)
+    fields, of = flat(pc.split_pattern_regex(x.take(pa.array(some)), CELL))
+    fields = pc.utf8_trim_whitespace(fields)
+    sizes = np.asarray(pc.utf8_length(fields))
+    words = ~yes(pc.match_substring(fields, " ")) & (sizes > 0)
+    of, full = of[sizes > 0], sizes[sizes > 0]
+    n = np.bincount(of, minlength=len(some))
+    total, plain = np.bincount(of, weights=full, minlength=len(some)), np.bincount(of, weights=words[sizes > 0], minlength=len(some))
+    most = np.zeros(len(some))
+    np.maximum.at(most, of, full)
+    short = (most <= MAX_CELL) & (total <= MEAN_CELL * n)
+    open_end = ~has(x.take(pa.array(some)), "[;,.]$")
+    row = np.where(n < 2, bar[some], short & (bar[some] | tab[some] | gap[some] & open_end | semi[some] & (plain > 0.8 * n)))
+    out = has(x, NUMBERS)
+    out[some] |= row
+    return out
+
+
+def line_shares(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Per text: lines, and their shares that end in punctuation, are list entries, rows of cells, leaders, dumps of bytes."""
+    x, of = flat(pc.split_pattern_regex(texts, LINE_ENDS))
+    x = pc.utf8_trim_whitespace(x)
+    size = np.asarray(pc.utf8_length(x))
+    x, of, size = x.filter(pa.array(size > 0)), of[size > 0], size[size > 0]
+    short = size <= LONG_LINE
+    dump = short & has(x, HEX) & (np.asarray(pc.count_substring(x, " ")) >= 4)
+    dots = short & ~dump & has(x, LEADER)
+    table = short & ~dump & ~dots & cell_rows(x)
+    entry = has(x, MARK) | has(x, "[;,]$") & (size <= 82) | has(x, SYMBOL_ENTRY)
+    bullets = dots | short & ~dump & ~table & entry
+    n = np.bincount(of, minlength=len(texts))
+    share = [np.bincount(of, weights=m, minlength=len(texts)) / np.maximum(n, 1) for m in (has(x, STOP), bullets, table, dots, dump)]
+    return n, *share
+
+
+def word_shares(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Per text: words, distinct common ones, and the shares of common, alphabetic, distinct and single-letter words."""
+    k = len(texts)
+    x, of = flat(pc.utf8_split_whitespace(texts))
+    size = np.asarray(pc.utf8_length(x))
+    x, of, size = x.filter(pa.array(size > 0)), of[size > 0], size[size > 0]
+    lower = pc.utf8_trim(pc.utf8_lower(x), ".,;:()[]")
+    code = np.asarray(lower.dictionary_encode().indices).astype(np.int64)
+    common = yes(pc.is_in(lower, pa.array(sorted(COMMON))))
+    n = np.bincount(of, minlength=k)
+    count = lambda m: np.bincount(of, weights=m, minlength=k)
+    distinct = lambda m: np.bincount(np.unique(of[m] * (len(x) + 1) + code[m]) // (len(x) + 1), minlength=k)
+    longest = np.zeros(k)
+    np.maximum.at(longest, of, size)
+    alpha, some = count(yes(pc.utf8_is_alpha(lower))) / np.maximum(n, 1), count(has(x, r"\p{L}")) / np.maximum(n, 1)
+    return {
+        "n": n, "chars": count(size), "longest": longest, "common": count(common) / np.maximum(n, 1), "n_common": distinct(common), "unique": distinct(np.ones(len(of), dtype=bool)) / np.maximum(n, 1),
+        "alpha": np.where(alpha < MIN_ALPHA, some, alpha), "singles": count(size == 1) / np.maximum(n, 1),
+    }
+
+
+def broken_rules(w: dict[str, np.ndarray], mean: np.ndarray, symbols: np.ndarray, punct: np.ndarray, bullets: np.ndarray, table: np.ndarray, dots: np.ndarray, dump: np.ndarray) -> np.ndarray:
+    """A row per text, a column per rule of RULES: whether it fails."""
+    return np.stack(
+        [
+            dump >= 0.5,
+            (w["longest"] > 60) & (w["longest"] > 0.2 * np.maximum(1, w["chars"])),
+            (table >= MIN_TABLE) & (table >= bullets),
+            (bullets >= MAX_BULLETS) | (bullets + table >= MAX_BULLETS) & (bullets > table),
+            (bullets + table >= MAX_BULLETS) & (bullets <= table),
+            (w["n_common"] < MIN_COMMON) | (w["common"] < MIN_SHARE),
+            (w["n"] >= 20) & (w["unique"] < MIN_UNIQUE) & (w["common"] < 0.15),
+            w["singles"] > 0.6,
+            (mean < MIN_LEN) | (mean > MAX_LEN),
+            symbols > MAX_SYMBOLS,
+            dots > MAX_DOTS,
+            w["alpha"] < MIN_ALPHA,
+            punct < MIN_PUNCT,
+        ],
+        axis=1,
     )
-    failed = [name for name, bad in rules if bad]
-    if "byte_dump" in failed or "long_words" in failed:
-        return failed, "junk"
-    if table >= MIN_TABLE and table >= bullets:
-        return failed, "table"
-    if bullets + dots >= MAX_BULLETS or bullets + table >= MAX_BULLETS and bullets > table:
-        return failed, "list"
-    if table + bullets >= MAX_BULLETS:
-        return failed, "table"
-    if "common_words" in failed or "repeated_words" in failed or "single_letters" in failed:
-        return failed, "junk"
-    return failed, "prose"
 
 
 def quality_stats(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     n = len(ids)
+    names, kinds = [r[0] for r in RULES], [r[1] for r in RULES]
 
     def make():
         classes = _classes()
 
         def work(b: pa.RecordBatch) -> dict:
-            raw = b.column(n).to_pylist()
-            texts = [t or "" for t in raw]
-            letters, digits, signs = char_counts(texts, classes)
-            out: dict[str, list] = {k.split(" ")[0]: [] for k in STATS.split(", ")}
-            for i, t in enumerate(texts):
-                words = t.split()
-                lines = [x for x in t.splitlines() if x.strip()]
-                nw, seen = len(words), int(letters[i] + digits[i] + signs[i])
-                lower = [w.strip(".,;:()[]") for w in t.lower().split()]
-                hits = [w for w in lower if w in COMMON]
-                n_common, common = len(set(hits)), len(hits) / max(1, nw)
-                alpha = sum(map(str.isalpha, lower)) / max(1, nw)
-                if alpha < MIN_ALPHA:
-                    alpha = sum(any(map(str.isalpha, w)) for w in words) / max(1, nw)
-                mean, unique = seen / max(1, nw), len(set(lower)) / max(1, nw)
-                symbols, digit = int(signs[i]) / max(1, seen), int(digits[i]) / max(1, seen)
-                shares = line_shares(lines)
-                if nw:
-                    failed, kind = judge(words, mean, symbols, digit, alpha, common, n_common, shares, unique, max(map(len, words)))
-                else:
-                    failed, kind = ["empty"], "junk"
-                row = (len(t), nw, mean, symbols, digit, alpha, common, n_common, len(lines), *shares[:4], unique, failed, None if raw[i] is None else kind)
-                for k, v in zip(out, row):
-                    out[k].append(v)
-            kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-            cols = {k: pa.array(out[k], kinds[x.split(" ", 1)[1]]) for k, x in zip(out, STATS.split(", "))}
-            return {c: b.column(k) for k, c in enumerate(ids)} | cols
+            raw = b.column(n)
+            texts = raw.fill_null("").cast(pa.string())
+            letters, digits, signs = char_counts(texts.to_pylist(), classes)
+            w = word_shares(texts)
+            n_lines, punct, bullets, table, dots, dump = line_shares(texts)
+            seen = letters + digits + signs
+            mean, symbols, digit = seen / np.maximum(w["n"], 1), signs / np.maximum(seen, 1), digits / np.maximum(seen, 1)
+            broken = broken_rules(w, mean, symbols, punct, bullets, table, dots, dump)
+            empty = w["n"] == 0
+            decided = np.array([k or "" for k in kinds], dtype=object)
+            deciding = broken[:, decided != ""]
+            kind = np.where(empty, "junk", np.where(deciding.any(axis=1), decided[decided != ""][deciding.argmax(axis=1)], "prose"))
+            broken = np.concatenate([empty[:, None], broken & ~empty[:, None]], axis=1)
+            failures = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(broken.sum(axis=1))]), pa.int32()), pa.array(["empty", *names]).take(pa.array(np.nonzero(broken)[1])))
+            whole = lambda x: pa.array(x.astype(np.int64))
+            got = {
+                "n_chars": pc.utf8_length(texts).cast(pa.int64()), "n_words": whole(w["n"]), "mean_word_len": mean, "symbol_ratio": symbols, "digit_ratio": digit, "alpha_word_share": w["alpha"], "common_share": w["common"], "n_common": whole(w["n_common"]), "n_lines": whole(n_lines),
+                "punct_line_share": punct, "bullet_line_share": bullets, "table_line_share": table, "dots_line_share": dots, "unique_word_share": w["unique"], "failures": failures, "kind": pa.array(kind.tolist(), pa.string(), mask=np.asarray(raw.is_null())),
+            }
+            return {c: b.column(k) for k, c in enumerate(ids)} | got
 
         return work
 

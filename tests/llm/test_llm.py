@@ -260,6 +260,8 @@ def test_works(spark):
         ("000000: 2c 56 37 eb 60 e2\n000010: 58 f9 aa 0e c5 6b", "junk"),
         ("nan " * 60, "junk"),
         ("$%&/ §§ =#", "junk"),
+        ("\n".join(["Chapter on loads .... 7"] * 9 + ["The value was measured in the second series."] * 11), "prose"),
+        ("\n".join(["Chapter on loads .... 7"] * 19 + ["The value was measured."]), "list"),
     ],
 )
 def test_kinds(spark, text, kind):
