@@ -115,8 +115,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_links(spark: SparkSession, d: str) -> DataFrame:
-    registry = names.registry_of(table(spark, d, "author_registry"), "author_id", "kind", "full_name", "family_name")
-    return names.link_papers(table(spark, d, "academic"), "paper_id", "authors", "year", "citation_key", registry)
+    return names.link_papers(table(spark, d, "academic"), "paper_id", "authors", "year", "citation_key", table(spark, d, "author_registry"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
