@@ -6,10 +6,14 @@ Method
   ``1 / MIN_SHARE`` of them however large the corpus is; that bounded table goes to every worker as a trie. Words below that
   share that are seen ``MIN_COUNT`` times are looked up for all misread words by a join on a key that misreadings leave alone
   (``rare_readings``); only the misread words so found, with their right words, go to the workers.
-* Every unknown word gives a generalised Levenshtein automaton (restricted substitutions, merges and splits: a letter, or
-  a group of letters, read for another), which is intersected with the trie. All words of the trie or of the join within the
-  allowed number of misreadings are found. Candidates are ranked by misreadings, then by context (the word occurs
-  elsewhere in the same text), then by frequency. Words of names that hold a digit are repaired by a letter model.
+* Every unknown word gives a Levenshtein automaton (``Automaton``: all insertions, deletions and substitutions, ``EDITS`` of
+  them), which is intersected with the trie for many words at once; all words of the trie within that distance are found.
+  Scanning merges and splits letters, which are two edits or more, and a long word may hold several misreadings; so the
+  automaton generalised by such moves (``candidates``: a letter, or a group of letters, read for another) is intersected with
+  the trie as well. Candidates are ranked by cost, then by context (the word occurs elsewhere in the same text), then by
+  frequency. A misreading of the table costs 1, another edit ``OTHER``. A word may cost as much as its length allows; one
+  that holds an edit of the other sort is taken only if its text has the right word ``TOLD`` times or more. Words of names
+  that hold a digit are repaired by a letter model.
 * Page furniture: lines at the edges of a document's pages that come again on other pages (digits and misreadings ignored),
   and lines that hold a number only and count up with the pages.
 * Lines are then reflowed: furniture goes, cut words are joined across lines and pages (a hyphen stays if the word is
@@ -25,7 +29,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +42,7 @@ from foliant.llm.words import EDGES, Memo, plain
 from foliant.session import cut
 
 MIN_SHARE, MIN_COUNT, SALTS, MAX_UNKNOWN, HEADING, RARER = 5e-6, 4, 8, 0.4, "\n", 10
+EDITS, OTHER, TOLD, LONGEST, ASKED, MEMO = 1, 4, 3, 62, 4096, 300_000
 HYPHENS = "-¬­‐"
 # What is read for what. Left: as printed, right: as read.
 MISREAD = (
@@ -63,6 +70,87 @@ class Trie(dict):
             at[""] = n
 
 
+class Automaton:
+    """Levenshtein automata of many words, run over one trie of all vocabulary words at the same time.
+
+    The trie is three arrays: the children of a node are numbered one after another. An automaton's state is a bit set for
+    each number of edits: bit i says that i letters of the word are read. A step reads a letter of the trie; branches whose
+    states are all empty are left.
+    """
+
+    def __init__(self, words: list[str], edits: int = EDITS):
+        self.words, self.edits = sorted(w for w in words if 0 < len(w) <= LONGEST), edits
+        n = len(self.words)
+        size = np.array([len(w) for w in self.words], dtype=np.int64)
+        width = int(size.max(initial=1))
+        letters = np.zeros((n, width), dtype=np.uint32)
+        if n:
+            letters = np.array(self.words, dtype=f"U{width}").view(np.uint32).reshape(n, width)
+        same = np.ones(n, dtype=np.int64) * -1  # letters in common with the word before
+        if n > 1:
+            differ = letters[1:] != letters[:-1]
+            same[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        self.letters, code = np.unique(letters, return_inverse=True)
+        code = code.reshape(letters.shape)
+        node = np.zeros(n, dtype=np.int64)
+        total, codes, parents, ends = 1, [np.zeros(1, dtype=np.int64)], [np.full(1, -1)], np.full(1, -1)
+        for d in range(1, width + 1):
+            has = np.flatnonzero(size >= d)
+            new = same[has] < d
+            at = total - 1 + np.cumsum(new)
+            parents.append(node[has][new])
+            codes.append(code[has, d - 1][new])
+            node[has] = at
+            total += int(new.sum())
+            ends = np.concatenate([ends, np.full(total - len(ends), -1)])
+            full = size[has] == d
+            ends[at[full]] = has[full]
+        self.code, self.ends = np.concatenate(codes), ends
+        parent = np.concatenate(parents)[1:]
+        self.count = np.bincount(parent, minlength=total)
+        self.first = np.concatenate([[1], 1 + np.cumsum(self.count)[:-1]])
+
+    def within(self, asked: list[str]) -> list[list[tuple[str, int]]]:
+        """For each word all vocabulary words within the number of edits, with their distance."""
+        out: list[list[tuple[str, int]]] = [[] for _ in asked]
+        for a in range(0, len(asked) if self.words else 0, ASKED):
+            for k, i, e in self._within(asked[a : a + ASKED]):
+                out[a + k].append((self.words[i], e))
+        return out
+
+    def _within(self, asked: list[str]) -> list[tuple[int, int, int]]:
+        asked = [w if len(w) <= LONGEST else "" for w in asked]
+        masks = np.zeros((len(asked), len(self.letters)), dtype=np.uint64)
+        place = {chr(c): k for k, c in enumerate(self.letters.tolist())}
+        for k, w in enumerate(asked):
+            for i, ch in enumerate(w):
+                if ch in place:
+                    masks[k, place[ch]] |= np.uint64(1 << i)
+        size = np.array([len(w) for w in asked], dtype=np.uint64)
+        one = np.uint64(1)
+        who = np.flatnonzero(size > 0)
+        node = np.zeros(len(who), dtype=np.int64)
+        state = [np.full(len(who), (1 << (e + 1)) - 1, dtype=np.uint64) for e in range(self.edits + 1)]
+        found = []
+        while len(who):
+            many = self.count[node]
+            back = np.repeat(np.arange(len(who)), many)
+            child = np.repeat(self.first[node] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(back))
+            who, node = who[back], child
+            hit = masks[who, self.code[child]]
+            old = [r[back] for r in state]
+            state = [(old[0] & hit) << one]
+            for e in range(1, self.edits + 1):
+                state.append(((old[e] & hit) << one) | old[e - 1] | ((old[e - 1] | state[e - 1]) << one))
+            alive = (state[-1] & ((one << (size[who] + one)) - one)) != 0
+            who, node, state = who[alive], node[alive], [r[alive] for r in state]
+            end = np.flatnonzero((self.ends[node] >= 0) & ((state[-1] >> size[who]) & one).astype(bool))
+            for k in end.tolist():
+                e = next(e for e in range(self.edits + 1) if (int(state[e][k]) >> int(size[who[k]])) & 1)
+                found.append((int(who[k]), int(self.ends[node[k]]), e))
+        return found
+
+
 def candidates(trie: dict, word: str, most: int) -> dict[str, tuple[int, int]]:
     """All words of the trie that are read as ``word`` with at most ``most`` misreadings: word -> (misreadings, count)."""
     found: dict[str, tuple[int, int]] = {}
@@ -114,9 +202,13 @@ class Letters:
                 self.tri[p[i : i + 3]] += 1
                 self.bi[p[i : i + 2]] += 1
 
+    def of(self, two: str, ch: str) -> float:
+        """Log-probability of a letter behind two others."""
+        return math.log((self.tri[two + ch] + 0.1) / (self.bi[two] + 3))
+
     def score(self, w: str) -> float:
         p = f"^^{w}$"
-        return sum(math.log((self.tri[p[i : i + 3]] + 0.1) / (self.bi[p[i : i + 2]] + 3)) for i in range(len(p) - 2))
+        return sum(self.of(p[i : i + 2], p[i + 2]) for i in range(len(p) - 2))
 
 
 class Reader:
@@ -133,6 +225,18 @@ class Reader:
         self.plain = Memo(plain)
         self.known = Memo(self._known)
         self.options = Memo(self._options)
+        self.near: dict[str, list[tuple[str, int]]] = {}
+        self._automaton: Automaton | None = None
+
+    @property
+    def automaton(self) -> Automaton:
+        """Made where it is used, of the words sent."""
+        if self._automaton is None:
+            self._automaton = Automaton(list(self.words))
+        return self._automaton
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None, "near": {}}
 
     def _known(self, token: str) -> bool:
         w = self.plain[token]
@@ -141,25 +245,47 @@ class Reader:
         return all(len(p) < 2 and not p.isdigit() or p in self.words for p in PARTED.split(w))
 
     def _options(self, word: str) -> list[tuple[int, int, str]]:
+        """(cost, -count, word) of what may have been read as the word, the cheapest and those of other edits."""
         if not (most := most_misreadings(word)):
             return []
+        if word not in self.near:
+            self.near[word] = self.automaton.within([word])[0]
         got = candidates(self.trie, word, most) | self.rare.get(word, {})
-        least = min((u for u, _ in got.values()), default=0)
-        return sorted((u, -n, w) for w, (u, n) in got.items() if u == least)
+        other = {w: (OTHER * e, self.count[w]) for w, e in self.near[word] if e and w not in got}
+        least = min((u for u, _ in got.values()), default=OTHER)
+        return sorted((u, -n, w) for w, (u, n) in (got | other).items() if u == least or u >= OTHER)
+
+    def ask(self, tokens: Iterable[str]) -> None:
+        """Looks up all words of some texts at once."""
+        asked = {p for t in set(tokens) if not self.known[t] for p in re.split("[-'’]", self.plain[t]) if p not in self.words and p not in self.near and most_misreadings(p)}
+        if len(self.near) > MEMO:
+            self.near.clear()
+        todo = sorted(asked)
+        self.near.update(zip(todo, self.automaton.within(todo)))
 
     def digits_out(self, word: str, context: dict[str, int] | set[str]) -> str | None:
         """A name with digits among its letters, letters put for them: a reading that the text has, else the one the letter model likes best."""
-        forms = [""]
-        for ch in word:
-            puts = [ch] if not ch.isdigit() else [p for r, p in UNDO.get(ch, ()) if r == ch]
-            if not puts:
-                return None
-            forms = [f + p for f in forms[:64] for p in puts]
-        return max(forms, key=lambda f: (f in context, self.letters.score(f)))
+        puts = [[ch] if not ch.isdigit() else [p for r, p in UNDO.get(ch, ()) if r == ch] for ch in word]
+        if not all(puts):
+            return None
+        there = [f for f in context if len(f) == len(word) and all(ch in p for ch, p in zip(f, puts))]
+        if there:
+            return max(there, key=lambda f: (self.letters.score(f), f))
+        best = {"^^": (0.0, "")}  # the best reading that ends in each two letters
+        for p in [*puts, ["$"]]:
+            step: dict[str, tuple[float, str]] = {}
+            for two, (score, text) in best.items():
+                for ch in p:
+                    now = (score + self.letters.of(two, ch), text + ch)
+                    step[two[1] + ch] = max(step.get(two[1] + ch, now), now)
+            best = step
+        return max(best.values())[1][:-1]
 
     def printed(self, token: str, context: dict[str, int] | set[str], starts: bool, guess: bool = True) -> str | None:
         """The right word of a misread token, or None. ``starts``: the token begins a sentence. ``guess``: names may be read by the letter model."""
         w = self.plain[token]
+        seen = context if isinstance(context, Counter) else Counter()
+        told = lambda right, part: part.isalpha() and len(part) == len(right) and seen[right] >= TOLD and seen[part] == 1
         bare = token.strip(EDGES)
         cap = bare[:1].isupper()
         out = []
@@ -176,6 +302,7 @@ class Reader:
                 options = [x for x in options if self.caps.get(x[2], 0) * 2 >= self.count[x[2]]]
             elif not cap and not digits:
                 options = [x for x in options if self.caps.get(x[2], 0) < 0.9 * self.count[x[2]]]
+            options = [x for x in options if x[0] < OTHER or told(x[2], part)]
             if options:
                 out.append(min(options, key=lambda x: (x[0], x[2] not in context, x[1]))[2])
                 changed = True
@@ -329,10 +456,11 @@ def sentence_start(tokens: list[str], k: int) -> bool:
 def read_lines(reader: Reader, numbered: list[tuple[int, str]], want_text: bool) -> tuple[list[tuple[int, str, str]], str | None]:
     """Findings (page, noise, token) of body lines, and the repaired text. ``numbered``: lines with their pages, furniture left out."""
     found: list[tuple[int, str, str]] = []
-    context: set[str] = set()
+    context: Counter[str] = Counter()
     plain_of = reader.plain
     for _, x in numbered:
         context.update(map(plain_of.__getitem__, x.split()))
+    last_full = max((k for k, (_, x) in enumerate(numbered) if x.strip()), default=-1)
     known = [reader.known[t] for _, x in numbered for t in x.split()]
     readable = sum(known) >= (1 - MAX_UNKNOWN) * len(known)  # else it is no text, and nothing can be said of its words
     out: list[str] = []
@@ -366,7 +494,7 @@ def read_lines(reader: Reader, numbered: list[tuple[int, str]], want_text: bool)
             carry = None
         last = len(tokens)
         part = tail_word(line)
-        if part is not None and any(x.strip() for _, x in numbered[at + 1 :][:6]):
+        if part is not None and at < last_full:
             last -= 1
             carry = (page, tokens[-1].rstrip()[:-1], tokens[-1].rstrip()[-1])
         for k in range(skip, last):
@@ -578,7 +706,9 @@ def find_pages(df: DataFrame, ids: list[str], pages: str, reader: Reader, want_t
     def make():
         def work(b: pa.RecordBatch) -> dict:
             out = []
-            for i, ps in enumerate(b.column(n).to_pylist()):
+            pages_of = b.column(n).to_pylist()
+            reader.ask(t for ps in pages_of for p in ps or () for t in (p or "").split())
+            for i, ps in enumerate(pages_of):
                 if ps:
                     found, text = find_in_pages(reader, ps, want_text)
                     out += [(i, *x) for x in dict.fromkeys(found)]
@@ -621,6 +751,7 @@ def find_chunks(df: DataFrame, ids: list[str], doc: str, text: str, page_start:
         def work(b: pa.RecordBatch) -> dict:
             out = []
             cols = [b.column(n + k).to_pylist() for k in range(6)]
+            reader.ask(x for t in cols[0] for x in t.split())
             for i, (t, a, z, keys, offsets, lines) in enumerate(zip(*cols)):
                 found, repaired = find_in_lines(reader, t, want_text) if lines else find_in_chunk(reader, t, set(keys or ()), offsets or [], 0, a or 0, z or 10**6, want_text)
                 out += [(i, *x) for x in dict.fromkeys(found)]

@@ -46,6 +46,41 @@ def test_misread_words(read, printed):
     assert a_reader().printed(read, (), False) == printed
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_levenshtein_automaton_finds_all_of_brute_force(edits):
+    rng = random.Random(edits)
+    make = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    vocabulary = sorted({make(rng.randrange(1, 9)) for _ in range(300)} | {"house"})
+    asked = [make(rng.randrange(1, 9)) for _ in range(60)] + ["hpuse", "housee", "huse", "house", "", "x" * 100]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for w, got in zip(asked, scans.Automaton(vocabulary, edits).within(asked)):
+        assert sorted(got) == sorted((v, distance(v, w)) for v in vocabulary if w and distance(v, w) <= edits)
+    assert scans.Automaton([], edits).within(["a"]) == [[]]
+
+
+def test_other_edits_need_the_text():
+    from collections import Counter
+
+    reader = a_reader(("house",))
+    assert reader.printed("hpuse", Counter({"house": 1, "hpuse": 1}), False) is None
+    assert reader.printed("hpuse", Counter({"house": 3, "hpuse": 1}), False) == "house"
+
+
+def test_names_with_many_digits():
+    reader = a_reader()
+    assert reader.digits_out("a1b5c0d1e5f0g1", {"albscodiesfogi": 1, "x": 2}) is not None
+    assert len(reader.digits_out("x1y5z0" * 20, set())) == 120 and not any(map(str.isdigit, reader.digits_out("x1y5z0" * 20, set())))
+
+
 def test_automaton_finds_all_of_brute_force():
     words = {w: 1 for w in "and arid clan dan corn com barn bam ill lll hit tit lit bit".split()}
     trie = scans.Trie(words)
