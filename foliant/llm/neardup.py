@@ -10,7 +10,7 @@ Steps
    checkpointed; texts are never shuffled. Copies collapse to one representative per text key. ``ROWS * BANDS`` minimum
    hashes give band keys, and ``BITS`` bits of each minimum a signature.
 2. Equal band keys make blocks. Blocks of over ``BLOCK`` members are cut into groups and compared group by group, so no
-   task holds an unbounded block and no pair is lost.
+   task holds an unbounded block and no pair is lost. Bands of very many texts are known beforehand from a sample and salted.
 3. Bit-sliced comparison: within a block the signatures are stored as vertical bit planes, 64 members to a word; each
    member's distances to all others are counted at once by carry-save bitwise counters, and a row is abandoned as soon
    as all its counters exceed the radius.
@@ -38,6 +38,7 @@ from foliant.llm.words import GONE, LOOK, LOOKALIKE, Memo, whole
 from foliant.session import cut
 
 ROWS, BANDS, BITS, BLOCK = 3, 24, 4, 512
+SALTS, SAMPLED, LARGEST = 64, 64, 5000
 HASHES = ROWS * BANDS
 _rng = np.random.default_rng(5)
 MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,18 +172,31 @@ def list_minima(lists: pa.ListArray) -> np.ndarray:
     return minima(np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), sh, len(lists))[1]
 
 
-def band_rows(sk: DataFrame) -> DataFrame:
-    """(tkey, band) of every text; copies within a batch count once, before anything is shuffled."""
+def band_rows(sk: DataFrame, large: dict[int, int] | None = None) -> DataFrame:
+    """(tkey, band, part) of every text; copies within a batch count once, before anything is shuffled. ``part``: 0, or for a band
+    in ``large`` (band -> groups) its number of groups and a salt, as ``groups * SALTS + salt``."""
+    names, sizes = (np.array(sorted(large), dtype=np.int64), np.array([large[k] for k in sorted(large)], dtype=np.int64)) if large else (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
 
     def make():
         def work(b: pa.RecordBatch) -> dict:
             tkey, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            keys = band_keys(list_minima(b.column(1).take(pa.array(first, pa.int64()))))
-            return {"tkey": pa.array(np.repeat(tkey, BANDS), pa.int64()), "band": pa.array(keys.ravel(), pa.int64())}
+            keys = band_keys(list_minima(b.column(1).take(pa.array(first, pa.int64())))).ravel()
+            owner = np.repeat(tkey, BANDS)
+            at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+            part = np.where((names[at] == keys) & (sizes[at] > 0), sizes[at] * SALTS + (owner.view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
+            return {"tkey": pa.array(owner, pa.int64()), "band": pa.array(keys, pa.int64()), "part": pa.array(part, pa.int64())}
 
         return work
 
-    return map_batches(sk.select("tkey", "sh"), make, "tkey bigint, band bigint")
+    return map_batches(sk.select("tkey", "sh"), make, "tkey bigint, band bigint, part bigint")
+
+
+def large_bands(sk: DataFrame) -> dict[int, int]:
+    """Bands of very many texts with the groups to cut them into, from a sample of the texts by their keys' hash. At most LARGEST of them, the
+    largest; which bands are among them decides how rows are spread, never which pairs are found."""
+    some = sk.where(F.pmod(F.xxhash64("tkey"), F.lit(SAMPLED)) == 0)
+    seen = band_rows(some).groupBy("band").agg(F.countDistinct("tkey").alias("n")).where(F.col("n") * SAMPLED > 4 * BLOCK)
+    return {r.band: -(-r.n * SAMPLED // BLOCK) for r in seen.orderBy(F.desc("n"), "band").limit(LARGEST).collect()}
 
 
 def close_pairs(block: np.ndarray, side: np.ndarray, sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -258,10 +272,10 @@ def beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def links(sk: DataFrame, threshold: float) -> DataFrame:
     """Pairs of text keys ``a < b`` with their ``similarity``, at least the threshold. ``sk``: sketches."""
     radius = radius_of(threshold)
-    w = Window.partitionBy("band")
-    members = band_rows(sk).repartition("band").dropDuplicates(["band", "tkey"]).withColumn("n", F.count("*").over(w)).where("n > 1")
-    # large blocks: groups of members, and a block for each pair of groups
-    parts_n = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    w = Window.partitionBy("band", "part")
+    members = band_rows(sk, large_bands(sk)).repartition("band", "part").dropDuplicates(["band", "part", "tkey"]).withColumn("n", F.count("*").over(w)).where("n > 1 or part > 0")
+    # large blocks: groups of members, and a block for each pair of groups; those of very many members go over SALTS tasks
+    parts_n = F.when(F.col("part") > 0, F.floor(F.col("part") / F.lit(SALTS))).otherwise(F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
     grouped = members.withColumn("p", parts_n).withColumn("g", F.when(F.col("p") > 1, F.pmod(F.xxhash64("tkey", "band"), F.col("p"))).otherwise(F.lit(0)).cast("int"))
     small = grouped.where("p = 1").select("tkey", F.xxhash64("band", F.lit(0)).alias("block"), F.lit(0).alias("side"))
     wide = grouped.where("p > 1").select("tkey", "band", "g", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("h"))
