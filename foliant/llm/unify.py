@@ -33,6 +33,12 @@ CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЗаеѕіјорсухԁһԛ
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυκ", "ABEZHIKMNOPTYXavopuk"))
 GREEK.pop("α"), GREEK.pop("υ"), GREEK.pop("κ")
 del CYRILLIC["З"]
+# The same of rarer alphabets and of phonetic letters; these are mapped only within words of Latin letters.
+ARMENIAN = dict(zip("օոսհցյզՕՍՏԼ", "onuhgjqOUSL"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏧ", "DRTAJEWMHGZRWVSLCPKd"))
+PHONETIC = dict(zip("ɡɑɩ", "gai"))
+RARER = ARMENIAN | LISU | CHEROKEE | PHONETIC
 LOOKALIKE = CYRILLIC | GREEK
 
 
@@ -57,6 +63,7 @@ def _compat() -> tuple[dict[str, str], dict[str, str]]:
         else:
             many[ch] = plain
     one["\u00a0"] = " "
+    one["\u2010"] = "-"  # as its non-breaking form
     return one, many
 
 
@@ -67,7 +74,8 @@ def _lit(s: str) -> str:
 def unify_sql(source: str, text: str, ids: str) -> str:
     """The SQL that DuckDB runs over a batch. ``ids``: the other columns to keep, ending in a comma."""
     one, many = _compat()
-    look, plain = "".join(LOOKALIKE), "".join(LOOKALIKE.values())
+    every = LOOKALIKE | RARER
+    look, plain = "".join(every), "".join(every.values())
     cyr, gre = "".join(CYRILLIC), "".join(GREEK)
     step = f"translate(t0, {_lit(''.join(one))}, {_lit(''.join(one.values()))})"
     for ch, to in many.items():
@@ -89,7 +97,7 @@ SELECT {ids} CASE WHEN NOT look THEN t1 ELSE array_to_string(list_transform(
     lambda w: CASE
       WHEN NOT regexp_matches(w, '[{look}]') THEN w
       WHEN regexp_matches(w, '\\p{{Latin}}') THEN
-        CASE WHEN regexp_matches(regexp_replace(w, '[{look}]', '', 'g'), '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN w ELSE translate(w, {_lit(look)}, {_lit(plain)}) END
+        CASE WHEN regexp_matches(regexp_replace(w, '[{look}]', '', 'g'), '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Armenian}}\\p{{Lisu}}\\p{{Cherokee}}]') THEN w ELSE translate(w, {_lit(look)}, {_lit(plain)}) END
       WHEN regexp_matches(w, '^[{cyr}{gre}''’]+$') AND NOT regexp_matches(w, '^[νρ]$')
         AND (NOT own_cyr OR NOT regexp_matches(w, '\\p{{Cyrillic}}')) AND (NOT own_gre OR NOT regexp_matches(w, '\\p{{Greek}}'))
         THEN translate(w, {_lit(look)}, {_lit(plain)})
