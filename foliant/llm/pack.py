@@ -114,4 +114,7 @@ def pack(df: DataFrame, id_col: str, text: str, capacity: int, tokenizer: str =
             out[id_col] = out[id_col].astype("Int64" if pd.api.types.is_numeric_dtype(pdf[id_col]) else object)
         return out
 
-    return keyed.groupBy("__shard").applyInPandas(one, schema)
+    # tasks by shard: left to itself, adaptive execution would put so few bytes into one task
+    spark = df.sparkSession
+    tasks = min(shards, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return keyed.repartition(tasks, "__shard").groupBy("__shard").applyInPandas(one, schema)
