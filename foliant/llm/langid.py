@@ -16,7 +16,8 @@ without one.
 Texts never leave the scan: Python returns a few numbers per sentence, and only those meet the host priors. Null or
 empty text, or text without a known word, gives no row. Repeated records each give their rows. Output of ``identify``:
 the id columns, ``label`` (normalised declared language, null if missing), ``lang string, sentences int, whole int,
-confidence double``, one row per record and language.
+confidence double``, one row per record and language. ``segments`` gives each passage of a record a row of its own. The host
+prior of a record leaves its own label out.
 """
 
 from __future__ import annotations
@@ -126,8 +127,9 @@ def train(df: DataFrame, id_col: str, text: str, label: str, most: int = MAX_LAB
     return fit_words([t for t, _ in pairs], [x for _, x in pairs])
 
 
-def sentence_scores(df: DataFrame, ids: list[str], text: str, model: Words) -> DataFrame:
-    """The id columns and, per row, the arrays ``best int, whole boolean`` and ``score`` (the languages' log-likelihoods, flat) of its sentences."""
+def sentence_scores(df: DataFrame, ids: list[str], text: str, model: Words, places: bool = False) -> DataFrame:
+    """The id columns and, per row, the arrays ``whole boolean`` and ``score`` (the languages' log-likelihoods, flat) of its sentences.
+    ``places``: and ``place`` (their first and last words in the text, from 1, flat)."""
     n, m = len(ids), len(LANGS)
 
     def make():
@@ -146,25 +148,31 @@ def sentence_scores(df: DataFrame, ids: list[str], text: str, model: Words) -> D
                 else:  # texts without such a sentence keep what they have
                     lone = np.setdiff1d(c.text[known > 0], c.text[keep])
                     keep = np.union1d(keep, np.flatnonzero((known > 0) & np.isin(c.text, lone)))
-                parts.append((c.text[keep] + a, g[keep], c.whole[keep] & (known[keep] >= MIN_KNOWN)))
+                begins = np.searchsorted(c.text, np.arange(len(part)))  # each text's first sentence
+                first = c.first[keep] - c.first[begins[c.text[keep]]] + 1 if len(keep) else keep
+                place = np.stack([first, first + c.size[keep] - 1], axis=1) if len(keep) else np.zeros((0, 2), dtype=np.int64)
+                parts.append((c.text[keep] + a, g[keep], c.whole[keep] & (known[keep] >= MIN_KNOWN), place))
             row = np.concatenate([x[0] for x in parts])
             g, whole = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
             rows, first = np.unique(row, return_index=True)
             ends = np.append(first, len(row)).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends * m, pa.int32()), pa.array(g.astype(np.float32).ravel(), pa.float32()))
             take = pa.array(rows, pa.int64())
-            return {c: b.column(k).take(take) for k, c in enumerate(ids)} | {
+            spots = np.concatenate([x[3] for x in parts]).ravel()
+            extra = {"place": pa.ListArray.from_arrays(pa.array(ends * 2, pa.int32()), pa.array(spots, pa.int32()))} if places else {}
+            return extra | {c: b.column(k).take(take) for k, c in enumerate(ids)} | {
                 "whole": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole)),
                 "score": flat,
             }
 
         return work
 
-    return map_batches(df.select(*ids, F.col(text).alias("__t")), make, f"{id_schema(df, ids)}, whole array<boolean>, score array<float>")
+    return map_batches(df.select(*ids, F.col(text).alias("__t")), make, f"{id_schema(df, ids)}, whole array<boolean>, score array<float>" + (", place array<int>" if places else ""))
 
 
 def host_priors(df: DataFrame, host: str, family: str, label: str) -> DataFrame:
-    """Per host the log of its languages' shares: ``host, prior array<double>``; counts of declared languages, smoothed in two steps."""
+    """``host, prior array<double>``: per host the counts of its declared languages, then what its family adds to them (smoothed
+    in two steps). A record leaves its own label out of the counts before they are taken for a prior."""
     lang = declared(F.col(label))
     base = df.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.coalesce(F.col(family), F.lit("")).alias("family"), lang.alias("l"))
     by_host = base.groupBy("host", "family").agg(*[F.count_if(F.col("l") == x).alias(x) for x in LANGS])
@@ -175,30 +183,40 @@ def host_priors(df: DataFrame, host: str, family: str, label: str) -> DataFrame:
     host_n = sum((F.col(x) for x in LANGS), F.lit(0))
     p0 = {x: (total[x] + 1) / (all_n + len(LANGS)) for x in LANGS}
     p1 = {x: (F.col(f"f_{x}") + FAMILY_WEIGHT * p0[x]) / (fam_n + FAMILY_WEIGHT) for x in LANGS}
-    p2 = [F.log((F.col(x) + HOST_WEIGHT * F.col(f"p_{x}")) / (host_n + HOST_WEIGHT)) for x in LANGS]
+    p2 = [*(F.col(x).cast("double") for x in LANGS), *(HOST_WEIGHT * F.col(f"p_{x}") for x in LANGS)]
     families = by_family.select("family", *[p1[x].alias(f"p_{x}") for x in LANGS])
     # one row per host, also where a host has several families
     per = by_host.join(families, "family").select("host", F.array(*p2).alias("prior"), host_n.alias("n"))
     return per.groupBy("host").agg(F.max_by("prior", F.struct("n", "prior")).alias("prior"))
 
 
-def identify(df: DataFrame, ids: list[str], text: str, label: str, host: str, family: str | None = None, address: str | None = None, model: Words | None = None) -> DataFrame:
+def scored(df: DataFrame, ids: list[str], text: str, label: str, host: str, family: str | None, address: str | None, model: Words | None, places: bool) -> DataFrame:
+    """Sentences' likelihoods with the record's label, address suffix and host prior."""
     fam = F.col(family) if family else F.lit("")
     suffix = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[F.regexp_extract(F.lower(F.col(address)), r"^(?:https?://)?[^/:?#]*\.([a-z]{2,})(?:[/:?#]|$)", 1)] if address else F.lit(None).cast("string")
     base = df.withColumns({"__host": F.col(host).cast("string"), "__fam": fam.cast("string"), "__label": declared(F.col(label)), "__suffix": suffix})
     model = model or train(df, ids[-1], text, label)
-    scores = sentence_scores(base, [*ids, "__label", "__suffix", "__host"], text, model)
+    scores = sentence_scores(base, [*ids, "__label", "__suffix", "__host"], text, model, places)
     priors = host_priors(base, "__host", "__fam", label)
     # one host may hold a third of all rows: its records go over SALTS tasks, its one prior row to each of them
     salted = scores.withColumn("__salt", F.pmod(F.xxhash64(*ids), F.lit(SALTS)).cast("int"))
     priors = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(priors, (salted["__host"] == priors["host"]) & (salted["__salt"] == priors["salt"]), "left")
-    per = fuse(joined, ids)
+    return salted.join(priors, (salted["__host"] == priors["host"]) & (salted["__salt"] == priors["salt"]), "left")
+
+
+def identify(df: DataFrame, ids: list[str], text: str, label: str, host: str, family: str | None = None, address: str | None = None, model: Words | None = None) -> DataFrame:
+    per = fuse(scored(df, ids, text, label, host, family, address, model, False), ids)
     return per.groupBy(*ids, "label", "lang").agg(
         F.sum("sentences").cast("int").alias("sentences"), F.sum("whole").cast("int").alias("whole"), F.round(F.sum("p") / F.sum("sentences"), 4).alias("confidence")
     )
 
 
+def segments(df: DataFrame, ids: list[str], text: str, label: str, host: str, family: str | None = None, address: str | None = None, model: Words | None = None) -> DataFrame:
+    """The passages of each record: the id columns, ``segment int`` (from 1), ``lang``, ``first_word, last_word`` (of the text's words, from 1),
+    ``sentences int, confidence double``. Consecutive sentences of one language are one passage; sentences without a known word are in none."""
+    return fuse(scored(df, ids, text, label, host, family, address, model, True), ids, True)
+
+
 def evidence(labels: list[str | None], weight: float) -> np.ndarray:
     """Log-odds that a declared language adds: right with P_RIGHT, else any other."""
     say = weight * np.log(P_RIGHT / ((1 - P_RIGHT) / (len(LANGS) - 1)))
@@ -209,14 +227,17 @@ def evidence(labels: list[str | None], weight: float) -> np.ndarray:
     return out
 
 
-def fuse(joined: DataFrame, ids: list[str]) -> DataFrame:
-    """Posterior of each sentence from its likelihoods, the label, the suffix and the host prior; a row per record and language."""
+def fuse(joined: DataFrame, ids: list[str], passages: bool = False) -> DataFrame:
+    """Posterior of each sentence from its likelihoods, the label, the suffix and the host prior; a row per record and language, or per passage."""
     n, m = len(ids), len(LANGS)
 
     def make():
-        def work(b: pa.RecordBatch) -> dict:
+        def posterior(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            """Each sentence's record, best language, its probability, and whether it is whole."""
             label, suffix = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
-            prior = np.array([[0.0] * m if x is None else x for x in b.column(n + 2).to_pylist()], dtype=np.float64).reshape(-1, m)
+            prior = np.array([[0.0] * m + [1.0] * m if x is None else x for x in b.column(n + 2).to_pylist()], dtype=np.float64).reshape(-1, 2 * m)
+            own = np.array([[x == y for y in LANGS] for x in label], dtype=np.float64).reshape(-1, m)
+            prior = np.log(np.maximum(prior[:, :m] - own, 0) + prior[:, m:])
             whole = b.column(n + 3)
             sizes = np.diff(np.asarray(whole.offsets)) if len(whole) else np.zeros(0, dtype=np.int64)
             row = np.repeat(np.arange(b.num_rows), sizes)
@@ -225,8 +246,27 @@ def fuse(joined: DataFrame, ids: list[str]) -> DataFrame:
             extra = evidence(label, 1.0) + evidence(suffix, 0.5) + prior
             extra = np.maximum(extra - extra.max(axis=1, keepdims=True), -CAP)
             g = g + extra[row]
-            best = g.argmax(axis=1)
-            p = 1 / np.exp(g - g.max(axis=1, keepdims=True)).sum(axis=1)
+            return row, g.argmax(axis=1), 1 / np.exp(g - g.max(axis=1, keepdims=True)).sum(axis=1), w
+
+        def work(b: pa.RecordBatch) -> dict:
+            row, best, p, w = posterior(b)
+            if passages:
+                place = np.asarray(b.column(n + 5).flatten()).reshape(-1, 2)
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (best[1:] != best[:-1])
+                first = np.flatnonzero(new)
+                many = np.diff(np.append(first, len(row)))
+                owner = row[first]
+                number = np.arange(len(first)) - np.searchsorted(owner, owner) + 1
+                take = pa.array(owner, pa.int64())
+                return {c: b.column(k).take(take) for k, c in enumerate(ids)} | {
+                    "segment": pa.array(number, pa.int32()),
+                    "lang": pa.array([LANGS[x] for x in best[first]], pa.string()),
+                    "first_word": pa.array(place[first, 0], pa.int32()),
+                    "last_word": pa.array(place[first + many - 1, 1], pa.int32()),
+                    "sentences": pa.array(many, pa.int32()),
+                    "confidence": pa.array(np.round(np.add.reduceat(p, first) / many, 4) if len(first) else p, pa.float64()),
+                }
             key, at = np.unique(row * m + best, return_inverse=True)
             take = pa.array(key // m, pa.int64())
             got = {c: b.column(k).take(take) for k, c in enumerate(ids)} | {"label": b.column(n).take(take)}
@@ -239,8 +279,9 @@ def fuse(joined: DataFrame, ids: list[str]) -> DataFrame:
 
         return work
 
-    cols = joined.select(*ids, "__label", "__suffix", "prior", "whole", "score")
-    return map_batches(cols, make, f"{id_schema(joined, ids)}, label string, lang string, sentences bigint, whole bigint, p double")
+    cols = joined.select(*ids, "__label", "__suffix", "prior", "whole", "score", *(["place"] if passages else []))
+    rows = "segment int, lang string, first_word int, last_word int, sentences int, confidence double" if passages else "label string, lang string, sentences bigint, whole bigint, p double"
+    return map_batches(cols, make, f"{id_schema(joined, ids)}, {rows}")
 
 
 def cases(found: DataFrame, ids: list[str]) -> DataFrame:

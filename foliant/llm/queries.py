@@ -78,12 +78,16 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
 
 
-def languages(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of chunks (type text) and abstracts."""
+def labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks (type text) and abstracts with their labels, hosts and families of hosts."""
     family = F.regexp_extract("source_file", r"^([^_]+)_", 1)
     chunks = texts_of(spark, d, "chunks").where("chunk_type = 'text'").select(F.lit("chunk").alias("rec_kind"), F.col("chunk_id").alias("rec_id"), "text", "lang_label", F.col("document_id").alias("host"), family.alias("family"))
     papers = table(spark, d, "academic").where("abstract is not null").select(F.lit("academic").alias("rec_kind"), F.col("paper_id").alias("rec_id"), F.col("abstract").alias("text"), "lang_label", F.col("paper_id").alias("host"), family.alias("family"))
-    return langid.identify(chunks.unionByName(papers), ["rec_kind", "rec_id"], "text", "lang_label", "host", "family")
+    return chunks.unionByName(papers)
+
+
+def languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(labelled_texts(spark, d), ["rec_kind", "rec_id"], "text", "lang_label", "host", "family")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +100,11 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages(spark, d)
 
 
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of every record with its language and confidence."""
+    return langid.segments(labelled_texts(spark, d), ["rec_kind", "rec_id"], "text", "lang_label", "host", "family").distinct()
+
+
 def subject_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = texts_of(spark, d, "documents")
     areas = table(spark, d, "subject_areas").where("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).orderBy("subject").collect()
@@ -174,7 +183,7 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise(spark, d, True).where("noise = 'text'").select("rec_kind", "rec_id", F.col("token").alias("text")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p10_found, p10_composition, p7_found, p7_entries, p3_found, p3_groups, p3_documents, p1_found, p1_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_stats, p5_found, p5_titles, p8_found, p8_bins, p9_found, p9_items, p6_found, p6_languages, p6_segments, p10_found, p10_composition, p7_found, p7_entries, p3_found, p3_groups, p3_documents, p1_found, p1_repaired)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 3000",

@@ -253,8 +253,11 @@ def test_large_blocks_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     texts = {f"{i:02}": "same words in all of the texts here again and again for a long while " * 2 + f"tail{i}" for i in range(23)}
     df = spark.createDataFrame(list(texts.items()), "id string, text string")
-    got = {(r["id_a"], r["id_b"]) for r in rows(neardup.near_pairs(*neardup.near_duplicates(df, "id", "text", 0.5, 3), "id"))}
-    assert got == brute(texts, 3, 0.5)
+    want = brute(texts, 3, 0.5)
+    for sampled in (64, 1):  # with 1 every band is seen, and is salted as a very large one
+        monkeypatch.setattr(neardup, "SAMPLED", sampled)
+        assert {(r["id_a"], r["id_b"]) for r in rows(neardup.near_pairs(*neardup.near_duplicates(df, "id", "text", 0.5, 3), "id"))} == want
+    assert neardup.large_bands(neardup.sketches(df, "id", "text", 3))
 
 
 def test_groups_follow_chains_and_copies(spark, odd, empty):
@@ -321,7 +324,7 @@ def test_statistics_equal_counting(odd, empty):
 
 @pytest.mark.parametrize(
     "text, plain",
-    [("ｌ＇ｅｓｓａｉ", "l'essai"), ("conﬁg", "config"), ("lа сараcité", "la capacité"), ("С'еѕt", "C'est"), ("a b　c d", "a b c d"), ("ex​periment", "experiment"), ("été", "été"), ("CO₂ ½ m² «x»", "CO₂ ½ m² «x»"), ("Жульня Щуга", "Жульня Щуга"), ("Φως Θίψα", "Φως Θίψα"), ("ΔT β² ε_b ν", "ΔT β² ε_b ν"), ("plain text", "plain text"), (None, None), ("", "")],
+    [("ｌ＇ｅｓｓａｉ", "l'essai"), ("conﬁg", "config"), ("lа сараcité", "la capacité"), ("С'еѕt", "C'est"), ("a b　c d", "a b c d"), ("ex​periment", "experiment"), ("été", "été"), ("CO₂ ½ m² «x»", "CO₂ ½ m² «x»"), ("mɡrɑin x‐y", "mgrain x-y"), ("հօտ", "հօտ"), ("Жульня Щуга", "Жульня Щуга"), ("Φως Θίψα", "Φως Θίψα"), ("ΔT β² ε_b ν", "ΔT β² ε_b ν"), ("plain text", "plain text"), (None, None), ("", "")],
 )
 def test_forms(spark, text, plain):
     r = rows(unify.unify(spark.createDataFrame([(1, text, True)], "id int, t string, changed boolean"), ["id"], "t"))
@@ -357,6 +360,14 @@ def test_languages(spark):
     cases = {(r["rec_id"], r["lang"]) for r in rows(langid.cases(found, ["rec_id"]))}
     assert cases == {("en", "en"), ("mix", "en"), ("mix", "de"), ("none", "es")}
     assert langid.identify(df.where("false"), ["rec_id"], "text", "lang_label", "host", "family").count() == 0
+    parts = {}
+    for r in sorted(rows(langid.segments(df.distinct(), ["rec_id"], "text", "lang_label", "host", "family")), key=lambda r: r["segment"]):
+        parts.setdefault(r["rec_id"], []).append((r["segment"], r["lang"], r["first_word"], r["last_word"], r["sentences"]))
+    en, de = len(SENTENCES["en"].split()), len(SENTENCES["de"].split())
+    assert parts["mix"] == [(1, "en", 1, en, 1), (2, "de", en + 1, en + de, 1)] and parts["es"][0][4] == 2 and "null" not in parts
+    assert langid.segments(df.where("false"), ["rec_id"], "text", "lang_label", "host", "family").count() == 0
+    there = df.withColumn("url", F.lit("https://www.example.de/x"))
+    assert {r["lang"] for r in rows(langid.identify(there.where("rec_id = 'de'"), ["rec_id"], "text", "lang_label", "host", "family", "url"))} == {"de"}
 
 
 def test_held_out_languages(spark, data):
