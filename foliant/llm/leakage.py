@@ -13,7 +13,11 @@ ones are phrases that any text may hold; all places of a diagonal count.
 Scale: one scan gives the documents' fingerprints, whatever the number of items. A Bloom filter of the items'
 fingerprints, ``BLOOM`` bits however many there are, leaves out nearly all others before the join; a filter that fills up
 costs shuffled rows, never a hit. The join's item side is small or met by key; a fingerprint with very many documents
-is split by adaptive execution. Only documents with a hit are read again, and only their own hits and items meet them.
+is split by adaptive execution. A fingerprint carries a byte of each of the ``AROUND`` words before and behind it: a place of
+``MIN_PLACE`` words or more always has a hit with so many equal words around, and other hits are left out there and then. The
+words of the item that stand equal around any hit of a document are all that can be found there, so pairs with less than
+``MIN_WORDS`` of them are left out too. Only documents of the remaining pairs are read again, and only their own hits and
+items meet them.
 
 Null or empty texts have no words and give no rows. Repeated documents each give their rows; repeated item ids count
 once per text. Output: the id columns, the item column, ``n_words int, places int``. Other columns are left out.
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm._arrow import id_schema, map_batches
 from foliant.llm.words import NUMBERING, Memo, plain, whole
+from foliant.session import cut
 
-K, W, MIN_WORDS, DENSITY, MIN_PLACE, BLOOM, DIAGONALS = 4, 2, 20, 0.85, 7, 1 << 23, 4096
+K, W, MIN_WORDS, DENSITY, MIN_PLACE, BLOOM, DIAGONALS, AROUND, SMALL = 4, 2, 20, 0.85, 7, 1 << 23, 4096, 12, 32 << 20
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 END = 0  # stands behind every text, so that no run goes over its end
 
@@ -151,14 +156,45 @@ def extend(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray) -> t
     return best_places(spans) if sum(x[2] for x in spans) >= MIN_WORDS else (0, 0)
 
 
+def surroundings(u: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """A byte of each word around the runs of K words that begin at ``at``, 0 beyond the text from ``begin`` to ``end``."""
+    width = K + 2 * AROUND
+    k = at[:, None] + np.arange(-AROUND, K + AROUND)[None, :]
+    inside = (k >= begin[:, None]) & (k < end[:, None])
+    code = np.where(inside, (u[np.clip(k, 0, len(u) - 1)] >> np.uint64(8)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8)
+    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * width)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, ends.buffers()[1], pa.py_buffer(code.tobytes())])
+
+
+def in_a_place(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Hits that have MIN_PLACE equal words around them, with ``met array<int>``, these words' positions in the item. rows: with ``x, y``, the
+    surroundings on both sides; ``keep`` ends in the item's position."""
+    n = len(keep)
+
+    def make():
+        def work(b: pa.RecordBatch) -> dict:
+            x, y = (np.frombuffer(b"".join(b.column(n + k).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for k in (0, 1))
+            same = (x == y) & (x > 0)
+            many = same.sum(axis=1)
+            ok = many >= MIN_PLACE
+            q = np.asarray(b.column(n - 1), dtype=np.int64)[ok]
+            row, offset = np.nonzero(same[ok])
+            met = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[ok])]), pa.int32()), pa.array(q[row] + offset - AROUND, pa.int32()))
+            return {c: b.column(k).filter(pa.array(ok)) for k, c in enumerate(keep)} | {"met": met}
+
+        return work
+
+    return map_batches(rows.select(*keep, "x", "y"), make, f"{id_schema(rows, keep)}, met array<int>")
+
+
 def item_rows(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
-    """(item column, words array<bigint>, hs array<bigint>, at array<int>): words and fingerprints of each item's text."""
+    """(item column, words array<bigint>, hs array<bigint>, at array<int>, y array<binary>): words and fingerprints of each item's text."""
 
     def make():
         memo = Memo(hashed)
 
         def work(b: pa.RecordBatch) -> dict:
-            words, hs, at = [], [], []
+            words, hs, at, y = [], [], [], []
             for t in b.column(1).to_pylist():
                 u, _ = word_hashes([t], memo)
                 h = kgram_hashes(u)
@@ -166,12 +202,13 @@ def item_rows(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
                 words.append(u[:-1].view(np.int64))
                 hs.append(h[w].view(np.int64))
                 at.append(w.astype(np.int32))
-            return {item_col: b.column(0), "words": pa.array(words, pa.list_(pa.int64())), "hs": pa.array(hs, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))}
+                y.append(surroundings(u, w, np.zeros(len(w), dtype=np.int64), np.full(len(w), len(u) - 1)).to_pylist())
+            return {item_col: b.column(0), "words": pa.array(words, pa.list_(pa.int64())), "hs": pa.array(hs, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32())), "y": pa.array(y, pa.list_(pa.binary()))}
 
         return work
 
     wanted = items.where(F.col(item_text).isNotNull()).select(item_col, item_text).distinct()
-    return map_batches(wanted, make, f"{id_schema(items, [item_col])}, words array<bigint>, hs array<bigint>, at array<int>")
+    return map_batches(wanted, make, f"{id_schema(items, [item_col])}, words array<bigint>, hs array<bigint>, at array<int>, y array<binary>")
 
 
 def bloom(rows: DataFrame) -> np.ndarray:
@@ -189,7 +226,7 @@ def bloom(rows: DataFrame) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, ids: list[str], text: str, bits: np.ndarray) -> DataFrame:
-    """(ids, th, h, p): the documents' fingerprints that the filter lets through. ``th``: the text's hash."""
+    """(ids, th, h, p, x): the documents' fingerprints that the filter lets through. ``th``: the text's hash."""
     n = len(ids)
     sent = df.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -204,11 +241,11 @@ def fingerprints(df: DataFrame, ids: list[str], text: str, bits: np.ndarray) ->
             at = at[some[(h[at] % np.uint64(BLOOM)).astype(np.int64)]]
             row = np.searchsorted(starts, at, "right") - 1
             take = pa.array(row, pa.int64())
-            return {c: b.column(k).take(take) for k, c in enumerate([*ids, "th"])} | {"h": pa.array(h[at].view(np.int64)), "p": pa.array((at - starts[row]).astype(np.int32))}
+            return {c: b.column(k).take(take) for k, c in enumerate([*ids, "th"])} | {"h": pa.array(h[at].view(np.int64)), "p": pa.array((at - starts[row]).astype(np.int32)), "x": surroundings(u, at, starts[row], starts[row + 1] - 1)}
 
         return work
 
-    return map_batches(df.select(*ids, F.xxhash64(text).alias("th"), F.col(text).alias("__t")), make, f"{id_schema(df, ids)}, th bigint, h bigint, p int")
+    return map_batches(df.select(*ids, F.xxhash64(text).alias("th"), F.col(text).alias("__t")), make, f"{id_schema(df, ids)}, th bigint, h bigint, p int, x binary")
 
 
 def leaked(df: DataFrame, ids: list[str], text: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:
@@ -216,9 +253,15 @@ def leaked(df: DataFrame, ids: list[str], text: str, items: DataFrame, item_col:
     n, names = len(ids), [f"__i{k}" for k in range(len(ids))]
     base = df.where(F.col(text).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(ids, names)], F.col(text).alias("__t"))
     rows = item_rows(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")), "item", "t").withColumn("no", F.xxhash64("item", "words"))
-    prints = rows.select("no", F.explode(F.arrays_zip("hs", "at")).alias("x")).select("no", F.col("x.hs").alias("h"), F.col("x.at").alias("q"))
-    hits = fingerprints(base, names, "__t", bloom(rows)).join(prints, "h").groupBy(*names, "th", "no").agg(F.collect_set(F.struct("p", "q")).alias("at"))
+    prints = rows.select("no", F.explode(F.arrays_zip("hs", "at", "y")).alias("e")).select("no", F.col("e.hs").alias("h"), F.col("e.at").alias("q"), F.col("e.y").alias("y"))
+    met = in_a_place(fingerprints(base, names, "__t", bloom(rows)).join(prints, "h"), [*names, "th", "no", "p", "q"])
+    hits = met.groupBy(*names, "th", "no").agg(F.collect_set(F.struct("p", "q")).alias("at"), F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    hits = hits.where(F.size("met") >= MIN_WORDS).drop("met")
     per = hits.join(rows.select("no", "item", "words"), "no").groupBy(*names, "th").agg(F.collect_list(F.struct("item", "words", "at")).alias("hits"))
+    # mostly few: sent to the documents where they are read if their size, which is counted, is small, else both sides are shuffled
+    per = cut(per)
+    cells = per.agg(F.sum(F.expr("aggregate(hits, 0L, (s, e) -> s + size(e.words) + 2 * size(e.at))"))).first()[0] or 0
+    per = F.broadcast(per) if 8 * cells <= SMALL else per
     keys = [F.xxhash64("__t") == F.col("th"), *[F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]]
     met = base.alias("a").join(per.alias("b"), keys).select(*[F.col(f"a.{c}").alias(k) for c, k in zip(names, ids)], F.col("a.__t").alias("__t"), F.col("b.hits").alias("hits"))
     kind = dict(items.dtypes)[item_col]
