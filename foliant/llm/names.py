@@ -9,8 +9,8 @@ Monge-Elkan similarity whose token similarity knows initials, short forms, trans
 clustering: the entries are the star centres, each spelling joins the centre it is most similar to, none if the best is
 below the threshold or two centres tie.
 
-The registry is a table of any size: it meets names by joins and is sent to no task. Only the given names that at least a
-``GIVEN_MOST``-th of its entries bear are (a comma behind a family name is read by them).
+The registry is a table of any size: it meets names by joins and is sent to no task. So do its given names, by which a comma
+behind a family name is read: each list gets those of its own words that are given names, however rare they are.
 
 Distinct spellings are compared, not mentions, so a name that fills a third of the rows is looked up once. Null or
 empty names give no row. Repeated rows count once.
@@ -30,7 +30,7 @@ from foliant.llm._arrow import map_batches
 from foliant.llm.words import GONE, LOOK
 from foliant.session import cut
 
-Q, COMMON, LEAST, RECALL, CHANCE, MAX_HASHES, ACCEPT, TOKEN, GIVEN_MOST = 2, 12, 0.4, 0.995, 0.1, 240, 0.86, 0.66, 100_000
+Q, COMMON, LEAST, RECALL, CHANCE, MAX_HASHES, ACCEPT, TOKEN = 2, 12, 0.4, 0.995, 0.1, 240, 0.86, 0.66
 # Short forms of given names in English, Spanish, German and French use, and of kinds of institution.
 HYPOCORISTICS = """
 abigail: abby gail; abraham: abe bram; adelheid: heidi; agnes: aggie; albert: al bert bertie; alberto: beto tito; alejandro: alex jandro; alexander: alex sandy sasha xander sascha; alexandra: alex sandra sasha lexi; alfred: alf fred alfie;
@@ -89,20 +89,38 @@ def is_initials(part: str) -> bool:
     return bool(re.fullmatch(r"(?:[^\W\d_]\.?[\s-]*){1,4}", part.strip()))
 
 
+def parts_of(authors: str) -> list[list[str]]:
+    """The parts of a list between signs that part names in any case, each cut at its commas."""
+    return [[p for p in (x.strip() for x in part.split(",")) if p] for part in EVERY.split(authors)]
+
+
+def may_be_family(piece: str) -> bool:
+    return sum(fold(w).strip(".") not in PARTICLES | TITLES for w in piece.split()) == 1
+
+
+def asked_given(authors: str) -> set[str]:
+    """The words by which ``split_names`` reads a list's commas if they are given names; what they are short for among them."""
+    out: set[str] = set()
+    for pieces in parts_of(authors):
+        for now, nxt in zip(pieces, pieces[1:]):
+            if may_be_family(now) and not is_initials(nxt):
+                out.update(g for t in tokens(nxt) if len(t) > 1 for g in meant(t))
+    return out
+
+
 def split_names(authors: str, given: frozenset[str]) -> list[str]:
-    """The names of a list. A comma parts two names unless what follows it is initials or given names of the family name before it."""
+    """The names of a list. A comma parts two names unless what follows it is initials or given names of the family name before it.
+    given: given names, of which only those in ``asked_given`` count."""
     out: list[str] = []
-    for part in EVERY.split(authors):
-        pieces = [p for p in (x.strip() for x in part.split(",")) if p]
+    for pieces in parts_of(authors):
         k = 0
         while k < len(pieces):
             now = pieces[k]
             if k + 1 < len(pieces):
                 nxt = pieces[k + 1]
-                words = [w for w in now.split() if fold(w).strip(".") not in PARTICLES | TITLES]
                 nt = tokens(nxt)
                 after_given = bool(nt) and all(len(t) == 1 or meant(t) & given for t in nt)
-                if is_initials(nxt) or len(words) == 1 and after_given or not nt:
+                if is_initials(nxt) or may_be_family(now) and after_given or not nt:
                     now, k = f"{now}, {nxt}", k + 1
             out.append(now)
             k += 1
@@ -270,11 +288,14 @@ def entries_of(registry: DataFrame, key: str, full: str, family: str) -> DataFra
     return made.join(shared, ["author_id", "full_name"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<string>")))
 
 
+def given_names(entries: DataFrame) -> DataFrame:
+    """(g): every given name of the registry."""
+    return entries.where("size(fam) > 0").select(F.explode(F.array_distinct(F.array_except("toks", "fam"))).alias("g")).where("length(g) > 1").distinct()
+
+
 def known_given(entries: DataFrame) -> frozenset[str]:
-    """Given names of the registry, of at least a ``GIVEN_MOST``-th of its entries: so many at most are sent to the tasks that part name lists."""
-    g = entries.where("size(fam) > 0").select(F.explode(F.array_distinct(F.array_except("toks", "fam"))).alias("g")).where("length(g) > 1").groupBy("g").agg(F.count("*").alias("n"))
-    least = max(1, -(-entries.count() // GIVEN_MOST))
-    return frozenset(r.g for r in g.where(F.col("n") >= least).toLocalIterator())
+    """All given names of a registry as a set, to part single lists on the driver; tables of lists meet ``given_names`` by a join."""
+    return frozenset(r.g for r in given_names(entries).toLocalIterator())
 
 
 def token_bands(tokens_of: DataFrame, name: str) -> DataFrame:
@@ -384,15 +405,22 @@ def link(names: DataFrame, name: str, entries: DataFrame) -> DataFrame:
     return per.where(((F.col("similarity") >= ACCEPT) | (F.size("all") == 1)) & alone).select("name", "e.author_id", "e.full_name", "e.family_name", "similarity")
 
 
-def mentions(papers: DataFrame, paper: str, authors: str, given: frozenset[str]) -> DataFrame:
-    """(paper, author_pos, name) of every name in the lists."""
+def mentions(papers: DataFrame, paper: str, authors: str, given: DataFrame) -> DataFrame:
+    """(paper, author_pos, name) of every name in the lists. given: ``given_names`` of the registry."""
     kind = dict(papers.dtypes)[paper]
 
+    def make_asked():
+        def work(b: pa.RecordBatch) -> dict:
+            asked = [sorted(asked_given(a)) for a in b.column(1).to_pylist()]
+            return {"__k": b.column(0).take(pa.array(np.repeat(np.arange(len(asked)), [len(x) for x in asked]))), "g": pa.array([g for x in asked for g in x], pa.string())}
+
+        return work
+
     def make():
         def work(b: pa.RecordBatch) -> dict:
             row, pos, names = [], [], []
-            for i, a in enumerate(b.column(1).to_pylist()):
-                for k, x in enumerate(split_names(a, given), 1):
+            for i, (a, known) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for k, x in enumerate(split_names(a, frozenset(known or ())), 1):
                     row.append(i)
                     pos.append(k)
                     names.append(x)
@@ -400,15 +428,17 @@ def mentions(papers: DataFrame, paper: str, authors: str, given: frozenset[str])
 
         return work
 
-    rows = papers.where(F.col(authors).isNotNull()).select(paper, authors).distinct()
-    return map_batches(rows, make, f"`{paper}` {kind}, author_pos int, name string")
+    rows = papers.where(F.col(authors).isNotNull()).select(F.col(paper).alias("__p"), F.col(authors).alias("__a"), F.sha2(authors, 256).alias("__k")).distinct()
+    lists = rows.where(F.contains("__a", F.lit(","))).select("__k", "__a").distinct()
+    known = map_batches(lists, make_asked, "__k string, g string").join(given, "g").groupBy("__k").agg(F.collect_set("g").alias("__g"))
+    return map_batches(rows.join(known, "__k", "left").select("__p", "__a", "__g"), make, f"`{paper}` {kind}, author_pos int, name string")
 
 
 def link_papers(papers: DataFrame, paper: str, authors: str, year: str, key: str, registry: DataFrame, ids: tuple[str, str, str] = ("author_id", "full_name", "family_name")) -> DataFrame:
     """All links: ``paper, author_pos, author_id, exact boolean``; position 0 is the citation key (of the first author, if a person).
     registry: with the columns ``ids``; the family name is null for organisations."""
     entries = cut(entries_of(registry, *ids))
-    named = mentions(papers, paper, authors, known_given(entries))
+    named = mentions(papers, paper, authors, given_names(entries))
     found = named.join(link(named, "name", entries), "name").withColumn("exact", F.col("name") == F.col("full_name"))
     keys = papers.where(F.col(key).isNotNull()).select(paper, F.col(key).alias("__k"), F.coalesce(year, F.lit("????")).alias("__y")).distinct()
     first = found.where("author_pos = 1 and family_name is not null").select(paper, "author_id", "family_name")

@@ -421,6 +421,15 @@ def test_name_lists(registry):
     assert s("") == []
 
 
+def test_rare_given_names_part_lists_of_a_large_registry(spark):
+    many = spark.range(100_000).selectExpr("id + 10 author_id", "'person' kind", "'Anna Zzkram' full_name", "'Zzkram' family_name")
+    registry = spark.createDataFrame([(1, "person", "Chidera Niabour", "Niabour"), (2, "person", "Robert Larpranvlind", "Larpranvlind")], REGISTRY).unionByName(many)
+    lists = {"p": "Niabour, Chidera, Larpranvlind, Bob", "q": "Niabour, Larpranvlind", "r": "Larpranvlind, Robert; Niabour, Chidera", "s": "Chidera Niabour", "t": None}
+    df = spark.createDataFrame([(k, x, None, None) for k, x in lists.items()] * 2, "paper_id string, authors string, year string, citation_key string")
+    got = {(r["paper_id"], r["author_pos"], r["author_id"], r["exact"]) for r in rows(names.link_papers(df, "paper_id", "authors", "year", "citation_key", registry))}
+    assert got == {("p", 1, 1, False), ("p", 2, 2, False), ("q", 1, 1, False), ("q", 2, 2, False), ("r", 1, 2, False), ("r", 2, 1, False), ("s", 1, 1, True)}
+
+
 def test_tuned_bands():
     assert names.curve(names.ROWS, names.BANDS, names.LEAST) >= names.RECALL and names.ROWS * names.BANDS <= names.MAX_HASHES
 
