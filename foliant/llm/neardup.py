@@ -274,18 +274,16 @@ def links(sk: DataFrame, threshold: float) -> DataFrame:
     radius = radius_of(threshold)
     w = Window.partitionBy("band", "part")
     members = band_rows(sk, large_bands(sk)).repartition("band", "part").dropDuplicates(["band", "part", "tkey"]).withColumn("n", F.count("*").over(w)).where("n > 1 or part > 0")
-    # large blocks: groups of members, and a block for each pair of groups; those of very many members go over SALTS tasks
+    # large blocks: groups of members, and a block for each pair of groups; those of very many members go over SALTS tasks; a small one is one group
     parts_n = F.when(F.col("part") > 0, F.floor(F.col("part") / F.lit(SALTS))).otherwise(F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
     grouped = members.withColumn("p", parts_n).withColumn("g", F.when(F.col("p") > 1, F.pmod(F.xxhash64("tkey", "band"), F.col("p"))).otherwise(F.lit(0)).cast("int"))
-    small = grouped.where("p = 1").select("tkey", F.xxhash64("band", F.lit(0)).alias("block"), F.lit(0).alias("side"))
-    wide = grouped.where("p > 1").select("tkey", "band", "g", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("h"))
-    wide = wide.select(
+    blocks = grouped.select("tkey", "band", "g", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("h")).select(
         "tkey",
-        F.xxhash64("band", F.least("g", "h"), F.greatest("g", "h"), F.lit(1)).alias("block"),
+        F.xxhash64("band", F.least("g", "h"), F.greatest("g", "h")).alias("block"),
         F.when(F.col("g") == F.col("h"), 0).when(F.col("g") < F.col("h"), 1).otherwise(2).alias("side"),
     )
     one = sk.groupBy("tkey").agg(F.first("sh").alias("sh"))
-    signed = map_batches(small.unionByName(wide).join(one, "tkey").select("block", "side", "tkey", "sh"), sign_rows, "block bigint, side int, tkey bigint, sig binary")
+    signed = map_batches(blocks.join(one, "tkey").select("block", "side", "tkey", "sh"), sign_rows, "block bigint, side int, tkey bigint, sig binary")
     # sorted blocks go over from one Arrow batch to the next
     ordered = signed.repartition("block").sortWithinPartitions("block")
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import langid, leakage, names, neardup, pack, quality, scans, split, subjects, unify
-from foliant.session import spread, table
+from foliant.llm._bloom import among
+from foliant.session import cut, spread, table
 
 WINDOW = "train_window"
 
@@ -27,11 +28,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(chunks, ["chunk_id"], "text").select("chunk_id", "piece", "n_pieces", "start", "overlap_chars", "cut", F.char_length("piece_text").alias("piece_chars"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = texts_of(spark, d, "chunks").where("chunk_type = 'text'")
+def not_prose(chunks: DataFrame) -> DataFrame:
     return quality.quality_stats(chunks, ["chunk_id"], "text").where("kind in ('list', 'table', 'junk')").select("chunk_id", "kind").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(texts_of(spark, d, "chunks").where("chunk_type = 'text'"))
+
+
 def p4_stats(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every delivered text row."""
     return quality.quality_stats(texts_of(spark, d, "chunks"), ["chunk_id"], "text")
@@ -144,8 +148,10 @@ def near_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.near_pairs(*near_chunks(spark, d), "chunk_id").select("id_a", "id_b")
-    other = p4_found(spark, d).select("chunk_id")
+    pairs = cut(neardup.near_pairs(*near_chunks(spark, d), "chunk_id").select("id_a", "id_b"))
+    # only chunks in a pair are rated; those that the filter lets through besides are in none
+    chunks = texts_of(spark, d, "chunks").where("chunk_type = 'text'").select("chunk_id", "text")
+    other = not_prose(among(chunks, "chunk_id", pairs.select(F.explode(F.array("id_a", "id_b"))))).select("chunk_id").distinct()
     for side in ("id_a", "id_b"):
         pairs = pairs.join(other.withColumnRenamed("chunk_id", side), side, "left_anti")
     works = neardup.same_works(table(spark, d, "academic"), "paper_id", "doi", "title")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, leakage, names, neardup, pack, quality, scans, split, subjects, unify
+from foliant.llm import _bloom, langid, leakage, names, neardup, pack, quality, scans, split, subjects, unify
 
 PROSE = "The compressor was measured in the second series and it was stable. We compared each result with the reference of the former year. "
 LONG = PROSE * 400
@@ -272,6 +272,32 @@ def test_groups_follow_chains_and_copies(spark, odd, empty):
     assert neardup.near_pairs(m, links, "id").count() == 0
 
 
+def test_only_paired_chunks_are_rated(spark, data, monkeypatch):
+    from foliant.llm import queries
+
+    pairs = {(r["id_a"], r["id_b"]) for r in rows(neardup.near_pairs(*queries.near_chunks(spark, data), "chunk_id"))}
+    other = {r["chunk_id"] for r in rows(queries.p4_found(spark, data))}
+    rate, rated = quality.quality_stats, []
+    monkeypatch.setattr(quality, "quality_stats", lambda df, *a: rated.append(df) or rate(df, *a))
+    got = {(r["id_a"], r["id_b"]) for r in rows(queries.p3_found(spark, data)) if r["rec_kind"] == "chunk"}
+    assert got and got == {p for p in pairs if not other & set(p)}
+    ids = {r["chunk_id"] for df in rated for r in rows(df.select("chunk_id"))}
+    chunks = spark.read.parquet(f"{data}/chunks.parquet").where("chunk_type = 'text'").count()
+    assert {i for p in pairs for i in p} <= ids and len(ids) < chunks / 2
+
+
+def test_filter_loses_no_row(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id n", "concat('k', id) k").unionByName(spark.createDataFrame([(-1, None)], "n bigint, k string"))
+    keys = df.where("n % 50 = 0 or n = -1").select("k")
+    want = set(range(0, 5000, 50))
+    for most in (1 << 27, 8):  # with 8 bits all rows pass
+        monkeypatch.setattr(_bloom, "MOST_BITS", most)
+        got = {r["n"] for r in rows(_bloom.among(df, "k", keys))}
+        assert want <= got and -1 not in got and (len(got) < 150) == (most > 8)
+    monkeypatch.setattr(_bloom, "MOST_BITS", 1 << 27)
+    assert _bloom.among(df, "k", keys.where("false")).count() == 0
+
+
 def test_works(spark):
     t = "Adjusted measurement of the wetland in the Sivodavebo series"
     data = [("a", "10.9999/x.1", t), ("b", "https://doi.org/10.9999/X.1", "other"), ("c", None, "ADJUSTED measurment of wetland in Sivodavebo series."), ("d", "10.9999/x.2", t), ("e", None, t.replace("Sivodavebo", "Nadedireba")), ("f", None, None), ("a", "10.9999/x.1", t)]
