@@ -2,9 +2,11 @@
 
 Method: MinHash banding over padded q-grams finds, for each distinct token of the spelled names, the registry's tokens that
 it may stand for; bands and rows are tuned from the collision curve (recall at the least similarity of a true pair, then
-fewest chance collisions). An entry is a candidate for a name that meets one of its rare tokens. Where a family name has
-more than ``COMMON`` bearers, or an organisation common words only, pairs have to be met: the family name with an initial of
-the rest, or two words; so no candidate is lost and no name meets all bearers. Candidates are verified by a symmetric
+fewest chance collisions). An entry is a candidate for a name that meets one of its rare tokens. Where a family name's word
+is in more than ``COMMON`` entries, or an organisation has common words only, pairs have to be met: the family name with an
+initial that a spelling of the given name may have (its own, those of the names it is short for or that are short for it, and
+what a slip makes of it), or two words; so no name meets all bearers. A family name that stands alone means its bearer if
+there is one only: it meets two bearers at most, as two tie. Candidates are verified by a symmetric
 Monge-Elkan similarity whose token similarity knows initials, short forms, transposed letters and lost accents. Star
 clustering: the entries are the star centres, each spelling joins the centre it is most similar to, none if the best is
 below the threshold or two centres tie.
@@ -58,6 +60,12 @@ def meant(given: str) -> frozenset[str]:
     return SHORT.get(given, frozenset()) | {given}
 
 
+def related(given: str) -> frozenset[str]:
+    """A given name and all that may be written for it: what it is short for, and the short forms of these."""
+    full = meant(given)
+    return full | frozenset(s for s, of in SHORT.items() if of & full)
+
+
 KINDS = {"lab": "laboratory", "labs": "laboratory", "inst": "institute", "cons": "consortium", "consort": "consortium", "wg": "working group", "grp": "group", "ctr": "center", "univ": "university", "dept": "department", "assoc": "association", "res": "research", "intl": "international"}
 SMALL = frozenset("for of on and the in".split())
 TITLES = frozenset("dr prof mr mrs ms sir dame phd md jr sr the".split())
@@ -326,18 +334,25 @@ def matching_tokens(spelled: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def filed_under(entries: DataFrame) -> DataFrame:
-    """(key, author_id, full_name): an entry stands under each of its rare tokens; without one under pairs, a family name with an initial or two words."""
+    """(key, author_id, full_name): an entry stands under each of its rare tokens; without one under pairs, a family name with an initial or two words.
+    Two bearers of a common family name stand under it alone."""
 
     def make():
+        letters: dict[str, frozenset[str]] = {}
+
         def work(b: pa.RecordBatch) -> dict:
             row, keys = [], []
             for i, (toks, fam, look, shared) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 6)))):
                 mine = [t for t in look if t not in shared]
                 if fam and (not mine or len(mine) < len(look)):
-                    given = {x[0] for g in toks if g not in fam for x in {g, *(s for s, full in SHORT.items() if g in full)}}
+                    for g in toks:
+                        if g not in letters:
+                            letters[g] = frozenset(x[0] for x in related(g))
+                    given = frozenset().union(*(letters[g] for g in toks if g not in fam))
                     mine += [f"{f}|{g}" for f in look if f in shared for g in given]
-                elif not mine:
-                    mine = [f"{x}|{y}" for x in look for y in look if x < y] or look
+                elif not fam and not any(t in toks for t in mine):  # acronyms at most
+                    words = [t for t in look if t in toks]
+                    mine += [f"{x}|{y}" for x in words for y in words if x < y] or words
                 row += [i] * len(mine)
                 keys += mine
             take = pa.array(row, pa.int64())
@@ -345,18 +360,29 @@ def filed_under(entries: DataFrame) -> DataFrame:
 
         return work
 
-    return map_batches(entries.select("author_id", "full_name", "toks", "fam", "look", "shared"), make, "key string, author_id bigint, full_name string")
+    filed = map_batches(entries.select("author_id", "full_name", "toks", "fam", "look", "shared"), make, "key string, author_id bigint, full_name string")
+    one = F.size("look") == 1, F.size(F.filter("fam", lambda t: F.array_contains("look", t))) == 1
+    bearers = entries.where(one[0] & one[1]).select(F.col("look")[0].alias("f"), "shared", F.struct("author_id", "full_name").alias("e")).where("array_contains(shared, f)")
+    two = bearers.groupBy("f").agg(F.array_distinct(F.array(F.min("e"), F.max("e"))).alias("e")).select(F.concat("f", F.lit("|")).alias("key"), F.explode("e").alias("e"))
+    return filed.unionByName(two.select("key", "e.author_id", "e.full_name"))
 
 
 def looked_up(named: DataFrame) -> DataFrame:
-    """(name, key) of names ``name, toks, met array<struct<t, f>>``: the tokens met, each with the initials of the others, and pairs of them."""
+    """(name, key) of names ``name, toks, met array<struct<t, f>>``: the tokens met, each with the initials of the others and of what those
+    may stand for, or alone if there are no others, and pairs of them."""
 
     def make():
         def work(b: pa.RecordBatch) -> dict:
             row, keys = [], []
             for i, (toks, met) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 mine = {m["f"] for m in met}
-                mine |= {f"{m['f']}|{t[0]}" for m in met for t in toks if t != m["t"] or len(toks) == 1}
+                alone = len([t for t in toks if t not in PARTICLES] or toks) == 1
+                for m in met:
+                    others = list(toks)
+                    others.remove(m["t"])
+                    mine |= {f"{m['f']}|{t[0]}" for t in others} | {f"{m['f']}|{x['f'][0]}" for x in met if x["t"] in others}
+                    if alone:
+                        mine.add(f"{m['f']}|")
                 mine |= {f"{x['f']}|{y['f']}" for x in met for y in met if x["t"] != y["t"] and x["f"] < y["f"]}
                 row += [i] * len(mine)
                 keys += mine
@@ -379,7 +405,7 @@ def link(names: DataFrame, name: str, entries: DataFrame) -> DataFrame:
     distinct = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
     spelled = cut(map_batches(distinct, make_tokens, "name string, toks array<string>"))
     each = spelled.select("name", F.explode(F.array_distinct("toks")).alias("t")).where("length(t) > 1")
-    met = matching_tokens(each.select("t").distinct(), entries.select(F.explode("look").alias("f")).distinct())
+    met = matching_tokens(each.select("t").distinct(), entries.select(F.explode("look").alias("f")).unionByName(given_names(entries).withColumnRenamed("g", "f")).distinct())
     per_name = each.join(met, "t").groupBy("name").agg(F.collect_set(F.struct("t", "f")).alias("met")).join(spelled, "name")
     found = looked_up(per_name).join(filed_under(entries), "key").select("name", "author_id", "full_name")
     exact = spelled.join(entries, F.col("name") == F.col("full_name")).select("name", "author_id", "full_name")

@@ -437,6 +437,18 @@ def test_common_family_names_lose_no_bearer(spark):
     assert names.link(spark.createDataFrame([("Anna Smith",)], "name string"), "name", e.where("false")).count() == 0
 
 
+def test_common_names_are_met_in_all_spellings(spark):
+    given = "Anna Bertram Clara Dolf Erik Fiona Gustav Hedwig Ivo Jonas Klara Bob Liam Sam".split()
+    entries = [(k, "person", f"{g} Smith", "Smith") for k, g in enumerate(given)]
+    entries += [(50 + k, "person", f"Martin {f}", f) for k, f in enumerate("Abker Bolvin Cedrang Dusch Ekmo Fritje Golub Hasper Imkov Jurba Kelm Lonzo Mirk".split())] + [(70, "person", "Hugo Martin", "Martin")]
+    left, right = "Alpha Gamma Delta Omega Sigma Kappa Lambda Theta Zeta Epsilon Iota Upsilon Phi".split(), "Heat Flow Load Ice Wind Turbine Network Quartz Metal Ocean Forest Bridge Sugar".split()
+    entries += [(100 + 20 * i + j, "organisation", f"{x} {y} Group", None) for i, x in enumerate(left) for j, y in enumerate(right)]
+    e = names.cut(names.entries_of(spark.createDataFrame(entries, REGISTRY), "author_id", "full_name", "family_name"))
+    spelled = {"Robert Smith": 11, "Bill Smith": 12, "Tonas Smith": 9, "Smith": None, "de Smith": None, "Smith, S.": 13, "MARTIN": 70, "Group Delta Wind": 144, "Omega Group": None}
+    got = {r["name"]: r["author_id"] for r in rows(names.link(spark.createDataFrame([(x,) for x in spelled], "name string"), "name", e))}
+    assert got == {x: k for x, k in spelled.items() if k is not None}
+
+
 def test_name_lists(registry):
     given = names.known_given(registry)
     s = lambda x: names.split_names(x, given)
